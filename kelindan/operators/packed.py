@@ -19,7 +19,7 @@ DELIMITERS = r";,|\t\n\r、；，"
 #: Fields that say "nothing here" (compared in lower case).
 BLANK_MARKERS = ("", "-", "nan", "none", "null", "<na>", "n/a", "[]")
 
-_END = rf"(?=[\s\p{{Z}}\]]*+(?:[{DELIMITERS}]|$))"
+_END = rf"(?=[ \p{{Z}}\]]*+(?:[{DELIMITERS}]|$))"
 TOKEN = "|".join((
     rf'"(?:[^"\\]|""|\\.)*+"{_END}',
     rf"'[^']*+'{_END}",
