@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelindan.llm import canon, consensus, encode, neardup
+from kelindan.llm import canon, consensus, encode, neardup, overlap
 from kelindan.plans.registry import Registry, table
 
 R = Registry()
@@ -42,6 +42,18 @@ def p2_classes(spark, d):
     return classes.join(names, "class", "left").select(F.col("src").alias("src_table"), F.col("key").alias("row_key"), "class_key", "class_rows")
 
 
+@R.query("p4_found")
+def p4_found(spark, d):
+    pairs = overlap.split_overlaps(table(spark, d, "sample_registry"))
+    return pairs.select(F.least("training_id", "evaluation_id").alias("record_id_1"), F.greatest("training_id", "evaluation_id").alias("record_id_2"))
+
+
+@R.query("p4_report")
+def p4_report(spark, d):
+    given = table(spark, d, "sample_registry")
+    return overlap.overlap_report(given, overlap.split_overlaps(given))
+
+
 @R.query("p8_ids")
 def p8_ids(spark, d):
     return encode.encode_column(table(spark, d, "documents"), "text", encode.rank_path("byte_bpe_50k"))
