@@ -2,34 +2,38 @@
 
 Signature: ``coordinates`` values per word set, each a hash of ``rows`` minimum
 hashes; two sets agree on a coordinate with probability similarity**rows. Documents are
-posted under (coordinate, value). Of ``coordinates`` coordinates, a pair with at least
-``min_matches`` agreements must agree within any ``coordinates - min_matches + 1`` of
-them: only that prefix is posted. Posting lists are merged twice:
+posted under (coordinate, value). Pairs with ``min_matches`` agreements or more are compared
+exactly, by the words of their texts. Posting lists are merged twice:
 
-1. every document of a list is paired with the list's least document only, and the
-   agreements of each such pair are counted; pairs with ``min_matches`` or more are compared
-   exactly. That is one pair a posting, also in a list with a third of all documents;
-2. lists of more than two documents that now lie in one group are skipped; in the others
-   documents of different groups are paired, so no link between posted documents is lost.
+1. the prefix: every document of a list is paired with the list's least document only, and the
+   agreements of each such pair are counted. That is one pair a posting, also in a
+   list with a third of all documents;
+2. the rest: lists whose documents now lie in one group are skipped; in the others
+   documents of different groups are paired and their agreements added to the first
+   counts, so no link that has the agreements is lost.
 
 Exact copies share one word set and are posted once.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelindan.llm.words import jaccard_at_least, word_set
 from kelindan.operators.components import connected_components
 from kelindan.session import stage, unstage
 
-#: With these, a pair at similarity 0.6 is posted together with probability 0.996, at 0.65 with 0.9996.
-COORDINATES, ROWS = 40, 4
+#: A pair agrees in MATCHES coordinates or more with probability 0.973 at similarity 0.6, 0.996 at 0.65, 0.9998 at 0.7.
+#: For more than some ten million texts take more rows, and coordinates in proportion to 0.6**-rows.
+COORDINATES, ROWS, MATCHES = 40, 4, 2
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _constants(n: int, seed: int = 20_240_607) -> tuple[np.ndarray, np.ndarray]:
@@ -53,84 +57,128 @@ def signatures(values: np.ndarray, starts: np.ndarray, coordinates: int, rows: i
     return out
 
 
-def postings(sets: DataFrame, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
-    """``(pk, rid)`` for each of the first ``coordinates`` coordinates of each set in ``(rid, hashes)``.
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def text_words(text: str | None) -> list[str]:
+    """The sorted distinct lower-cased runs of letters and digits."""
+    return sorted(set(_WORD.findall(text.lower()))) if text else []
+
+
+def set_id(src: str | None, text: str | None) -> int | None:
+    """64-bit id of a row's word set within its source; of the text itself if it has no words; None for blank and null."""
+    if not text or text.isspace():
+        return None
+    words = text_words(text)
+    return _signed(xxhash.xxh64_intdigest("\x00".join((src or "", "w", *words) if words else (src or "", "v", text)).encode("utf-8", "replace")))
+
+
+def _identified(df: DataFrame) -> DataFrame:
+    """``(src, key, rid, text)``, in one Arrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            src, text = b.column(0).to_pylist(), b.column(2).to_pylist()
+            rid = pa.array([set_id(s, t) for s, t in zip(src, text, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rid, b.column(2)], ["src", "key", "rid", "text"])
+
+    given = df.select(*[F.col(c).cast("string").alias(c) for c in ("src", "key", "text")])
+    return given.mapInArrow(run, "src string, key string, rid long, text string")
+
+
+def postings(texts: DataFrame, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
+    """``(pk, rid)`` for each of the first ``coordinates`` coordinates of each word set in ``(rid, text)``.
 
     Copies within a batch are posted once, so a text with a third of all rows is
-    posted once a batch. Empty sets are not posted.
+    posted once a batch. Texts without words are not posted. The id of a set
+    salts its words by source through ``src``.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            ends = np.asarray(lists.offsets)
-            starts, sizes = ends[:-1] - ends[0], np.diff(ends)
-            rid, first = np.unique(np.asarray(b.column(0)), return_index=True)
-            keep = first[sizes[first] > 0]
-            if not len(keep):
+            seen: dict[int, list[int]] = {}
+            held: dict[tuple[str, str], int] = {}
+            for rid, text, src in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if rid in seen:
+                    continue
+                hashes = []
+                for w in text_words(text):
+                    h = held.get((src, w))
+                    if h is None:
+                        h = held[src, w] = xxhash.xxh64_intdigest(w, zlib.crc32(src.encode()))
+                    hashes.append(h)
+                seen[rid] = hashes
+            kept = {r: h for r, h in seen.items() if h}
+            if not kept:
                 continue
-            values = np.asarray(lists.flatten()).view(np.uint64)
-            picked = np.concatenate([values[starts[i] : starts[i] + sizes[i]] for i in keep])
-            begin = np.concatenate(([0], np.cumsum(sizes[keep])[:-1]))
-            keys = signatures(picked, begin, coordinates, rows).view(np.int64)
-            ids = np.asarray(b.column(0))[keep]
+            begin = np.concatenate(([0], np.cumsum([len(h) for h in kept.values()])[:-1])).astype(np.int64)
+            values = np.fromiter((x for h in kept.values() for x in h), dtype=np.uint64)
+            keys = signatures(values, begin, coordinates, rows).view(np.int64)
+            ids = np.fromiter(kept, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(ids, coordinates))], ["pk", "rid"])
 
-    return sets.select("rid", "hashes").mapInArrow(post, "pk long, rid long")
+    return texts.select("rid", "text", F.coalesce("src", F.lit("")).alias("src")).mapInArrow(post, "pk long, rid long")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose word sets share num/den of their joint words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                u, v = set(text_words(x)), set(text_words(y))
+                keep.append(len(u & v) * (num + den) >= num * (len(u) + len(v)))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
     need = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     known = texts.join(need, "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
     left, right = known.withColumnsRenamed({"rid": "a", "text": "ta"}), known.withColumnsRenamed({"rid": "b", "text": "tb"})
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(jaccard_at_least(word_set("ta"), word_set("tb"), num, den)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_classes(
-    df: DataFrame, num: int = 3, den: int = 5, coordinates: int = COORDINATES, rows: int = ROWS, min_matches: int = 1
+    df: DataFrame, num: int = 3, den: int = 5, coordinates: int = COORDINATES, rows: int = ROWS, min_matches: int = MATCHES
 ) -> DataFrame:
-    """``(src, key, class)`` for each row of ``df(src, key, text)``, staged: rows in one class are one text with edits.
+    """``(src, key, class)`` for each row of ``df(src, key, text)``: rows in one class are one text with edits.
 
     Two rows of one ``src`` with at least num/den of their joint distinct words in
     common share a class, also through other rows; so do verbatim copies without words
     (emoji only). Null and blank texts have a null class. Keys may repeat. An
     empty table gives an empty result. The class is a 64-bit id.
     """
-    words = word_set("text")
-    given = df.select(F.col("src").cast("string"), F.col("key").cast("string"), F.when(F.trim("text") != "", F.col("text")).alias("text"))
-    rid = F.when(F.size(words) > 0, F.xxhash64("src", words)).when(F.col("text").isNotNull(), F.xxhash64("src", F.lit("verbatim"), "text"))
-    rows_ = stage(given.withColumn("rid", rid), "nd-rows")
+    rows_ = stage(_identified(df), "nd-rows")
     texts = rows_.where("rid is not null").select("rid", "text", "src")
-    hashes = F.transform(words, lambda w: F.xxhash64(F.col("src"), w))
-
-    posted = postings(texts.select("rid", hashes.alias("hashes")), coordinates - min_matches + 1, rows)
     by_key = Window.partitionBy("pk")
-    distinct = posted.repartition("pk").distinct()  # the distinct needs no further exchange
-    lists = stage(
-        distinct.withColumns({"n": F.count(F.lit(1)).over(by_key), "a": F.min("rid").over(by_key)}).where("n > 1").withColumnRenamed("rid", "b"), "nd-lists"
-    )
-
-    pairs = lists.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_matches).select("a", "b")
-    pairs = stage(pairs, "nd-pairs")
-    links = stage(_compare(pairs, texts, num, den), "nd-links")
+    # hash-partitioned by pk, which serves the distinct and the window alike
+    posted = postings(texts, coordinates, rows).repartition("pk").distinct()
+    lists = posted.withColumns({"n": F.count(F.lit(1)).over(by_key).cast("int"), "a": F.min("rid").over(by_key)}).where("n > 1")
+    lists = stage(lists.withColumnRenamed("rid", "b"), "nd-lists")
+
+    counted = lists.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    counted = stage(counted, "nd-counts")
+    links = stage(_compare(counted.where(F.col("m") >= min_matches).select("a", "b"), texts, num, den), "nd-links")
     found = stage(connected_components(links, "a", "b"), "nd-comps")
 
     of = found.select(F.col("node").alias("b"), F.col("component").alias("g"))
-    open_lists = lists.where("n > 2").join(of, "b", "left").select("pk", "b", F.coalesce("g", "b").alias("g"))
-    mixed = open_lists.groupBy("pk").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("pk")
-    rest = stage(open_lists.join(mixed, "pk", "left_semi"), "nd-rest")
-    if not rest.isEmpty():
-        x, y = rest.select("pk", F.col("b").alias("x"), F.col("g").alias("gx")), rest.select("pk", F.col("b").alias("y"), F.col("g").alias("gy"))
-        more = x.join(y, "pk").where("gx < gy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        more = stage(more.distinct().join(pairs, ["a", "b"], "left_anti"), "nd-more")
-        extra = stage(_compare(more, texts, num, den), "nd-extra")
-        if not extra.isEmpty():
-            again = stage(connected_components(links.unionByName(extra), "a", "b"), "nd-comps")
-            unstage(found)
-            found = again
+    open_lists = lists.where("n > 2").join(of, "b", "left").select("pk", "a", "b", F.coalesce("g", "b").alias("g"))
+    mixed = open_lists.where("a <> b").groupBy("pk").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("pk")
+    rest = open_lists.where("a <> b").join(mixed, "pk", "left_semi")
+    x, y = rest.select("pk", F.col("b").alias("x"), F.col("g").alias("gx")), rest.select("pk", F.col("b").alias("y"), F.col("g").alias("gy"))
+    among = x.join(y, "pk").where("x < y and gx <> gy").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("m"), F.lit(True).alias("new"))
+    total = among.unionByName(counted.where(F.col("m") < min_matches).withColumn("new", F.lit(False)))
+    # pairs counted to min_matches above have been compared already
+    more = total.groupBy("a", "b").agg(F.sum("m").alias("m"), F.max("new").alias("new")).where((F.col("m") >= min_matches) & F.col("new")).select("a", "b")
+    extra = stage(_compare(more, texts, num, den), "nd-extra")
+    if not extra.isEmpty():
+        again = stage(connected_components(links.unionByName(extra), "a", "b"), "nd-comps")
+        unstage(found)
+        found = again
     comps = found.select(F.col("node").alias("rid"), F.col("component"))
+    for done in (lists, counted):
+        unstage(done)
     return rows_.select("src", "key", "rid").join(comps, "rid", "left").select("src", "key", F.coalesce("component", "rid").alias("class"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelindan.llm import canon, consensus, encode, neardup, overlap
+from kelindan.llm import canon, consensus, encode, neardup, overlap, truncation
 from kelindan.plans.registry import Registry, table
 
 R = Registry()
@@ -95,3 +95,14 @@ SELECT n_items, n::BIGINT AS n_votes, d / n AS observed_disagreement,
   1 - (d / n) / ((a * (n - a) + b * (n - b) + c * (n - c)) / (n - 1) / n) AS alpha FROM s""")
 def p6_agreement(spark, d):
     return consensus.krippendorff(_votes(spark, d))
+
+
+@R.query("p10_found")
+def p10_found(spark, d):
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+@R.query("p10_report")
+def p10_report(spark, d):
+    docs = table(spark, d, "documents")
+    return truncation.truncation_report(docs, truncation.truncated(docs))
