@@ -61,6 +61,17 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class _WordHashes(dict):
+    """Word -> 64-bit hash, salted by source; filled on demand."""
+
+    def __init__(self, src: str) -> None:
+        self.seed = zlib.crc32(src.encode("utf-8", "replace"))
+
+    def __missing__(self, w: str) -> int:
+        h = self[w] = xxhash.xxh64_intdigest(w, self.seed)
+        return h
+
+
 def text_words(text: str | None) -> list[str]:
     """The sorted distinct lower-cased runs of letters and digits."""
     return sorted(set(_WORD.findall(text.lower()))) if text else []
@@ -96,20 +107,18 @@ def postings(texts: DataFrame, coordinates: int = COORDINATES, rows: int = ROWS)
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _WordHashes] = {}
         for b in batches:
-            seen: dict[int, list[int]] = {}
-            held: dict[tuple[str, str], int] = {}
+            kept: dict[int, list[int]] = {}
             for rid, text, src in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if rid in seen:
-                    continue
-                hashes = []
-                for w in text_words(text):
-                    h = held.get((src, w))
-                    if h is None:
-                        h = held[src, w] = xxhash.xxh64_intdigest(w, zlib.crc32(src.encode()))
-                    hashes.append(h)
-                seen[rid] = hashes
-            kept = {r: h for r, h in seen.items() if h}
+                if rid not in kept:
+                    if src not in held:
+                        held[src] = _WordHashes(src)
+                    kept[rid] = list(map(held[src].__getitem__, set(_WORD.findall(text.lower()))))
+            for table in held.values():
+                if len(table) > 1_000_000:
+                    table.clear()
+            kept = {r: h for r, h in kept.items() if h}
             if not kept:
                 continue
             begin = np.concatenate(([0], np.cumsum([len(h) for h in kept.values()])[:-1])).astype(np.int64)
@@ -152,20 +161,20 @@ def near_duplicate_classes(
     rows_ = stage(_identified(df), "nd-rows")
     texts = rows_.where("rid is not null").select("rid", "text", "src")
     by_key = Window.partitionBy("pk")
-    # hash-partitioned by pk, which serves the distinct and the window alike
-    posted = postings(texts, coordinates, rows).repartition("pk").distinct()
-    lists = posted.withColumns({"n": F.count(F.lit(1)).over(by_key).cast("int"), "a": F.min("rid").over(by_key)}).where("n > 1")
-    lists = stage(lists.withColumnRenamed("rid", "b"), "nd-lists")
+    posted = postings(texts, coordinates, rows).repartition("pk")
+    lists = posted.withColumns({"a": F.min("rid").over(by_key), "z": F.max("rid").over(by_key)}).where("a < z")
+    # the exchange by pk serves the window and the distinct alike
+    lists = stage(lists.select("pk", "a", F.col("rid").alias("b")).where("a <> b").distinct(), "nd-lists")
 
-    counted = lists.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    counted = lists.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("m"))
     counted = stage(counted, "nd-counts")
     links = stage(_compare(counted.where(F.col("m") >= min_matches).select("a", "b"), texts, num, den), "nd-links")
     found = stage(connected_components(links, "a", "b"), "nd-comps")
 
     of = found.select(F.col("node").alias("b"), F.col("component").alias("g"))
-    open_lists = lists.where("n > 2").join(of, "b", "left").select("pk", "a", "b", F.coalesce("g", "b").alias("g"))
-    mixed = open_lists.where("a <> b").groupBy("pk").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("pk")
-    rest = open_lists.where("a <> b").join(mixed, "pk", "left_semi")
+    open_lists = lists.join(of, "b", "left").select("pk", "b", F.coalesce("g", "b").alias("g"))
+    mixed = open_lists.groupBy("pk").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("pk")
+    rest = open_lists.join(mixed, "pk", "left_semi")
     x, y = rest.select("pk", F.col("b").alias("x"), F.col("g").alias("gx")), rest.select("pk", F.col("b").alias("y"), F.col("g").alias("gy"))
     among = x.join(y, "pk").where("x < y and gx <> gy").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("m"), F.lit(True).alias("new"))
     total = among.unionByName(counted.where(F.col("m") < min_matches).withColumn("new", F.lit(False)))
