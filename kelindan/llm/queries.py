@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelindan.llm import canon, consensus, encode, neardup, overlap, truncation
+from kelindan.llm import canon, consensus, encode, neardup, overlap, packing, pii, truncation
 from kelindan.plans.registry import Registry, table
 
 R = Registry()
@@ -106,3 +106,33 @@ def p10_found(spark, d):
 def p10_report(spark, d):
     docs = table(spark, d, "documents")
     return truncation.truncation_report(docs, truncation.truncated(docs))
+
+
+def _detector(spark, d):
+    return pii.fit_detector(table(spark, d, "comment_similarity_pairs"), "pair_id", "comment_2", table(spark, d, "name_parts"))
+
+
+@R.query("p7_found")
+def p7_found(spark, d):
+    return pii.find_items(table(spark, d, "comment_similarity_pairs"), "pair_id", "comment_2", _detector(spark, d)).select("pair_id", "pii_type", "start_at")
+
+
+@R.query("p7_redacted")
+def p7_redacted(spark, d):
+    given = table(spark, d, "comment_similarity_pairs").select("pair_id", "comment_2")
+    return pii.redact(given, "comment_2", _detector(spark, d)).select("pair_id", "redacted")
+
+
+def _packed(spark, d):
+    sized = encode.encode_column(table(spark, d, "documents"), "text", encode.rank_path("byte_bpe_50k"), counts_only=True)
+    return packing.pack(sized)
+
+
+@R.query("p9_packing")
+def p9_packing(spark, d):
+    return _packed(spark, d)
+
+
+@R.query("p9_summary")
+def p9_summary(spark, d):
+    return packing.packing_summary(_packed(spark, d))
