@@ -217,7 +217,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     flat = limits.groupBy("source").agg(
         *[F.max(F.when(F.col("unit") == u, F.col(c))).alias(f"{u}_{c}") for u in ("n_chars", "n_bytes", "n_base") for c in ("low", "high")]
     )
-    joined = joined.join(F.broadcast(flat), "source", "left")  # one row per source that has a limit
+    joined = joined.join(flat, "source", "left")
 
     def at(unit):
         return F.coalesce(F.col(unit).between(F.col(f"{unit}_low"), F.col(f"{unit}_high")), F.lit(False))
