@@ -240,3 +240,17 @@ def t15_round_robin(spark, d):
 def t20_banded_audit(spark, d):
     rows = table(spark, d, "comment_similarity_pairs").select(F.col("similarity_category").alias("band"), "pair_id", "cosine_similarity_char5")
     return S.head_per_group(rows, "band", [F.desc_nulls_last("cosine_similarity_char5"), F.col("pair_id")], 25).select("band", "pair_id")
+
+
+@R.query("m16_text_model")
+def m16_text_model(spark, d):
+    """Confusion of out-of-fold predictions of a text model against the usable answers."""
+    from kelindan.operators import models
+
+    rows = _pt(spark, d).join(table(spark, d, "annotations").groupBy("comment_id").agg(F.min("comment_text_original").alias("text")), "comment_id")
+    index = F.create_map(*[F.lit(x) for i, name in enumerate(LABELS) for x in (name, float(i))])
+    coded = rows.select("comment_id", "text", index[F.col("truth")].alias("label"))
+    found = models.out_of_fold(coded, "comment_id", "comment_id", folds=2, iterations=5)
+    names = F.array(*[F.lit(x) for x in LABELS])
+    pred = names[F.array_position("p", F.array_max("p")).cast("int") - 1]
+    return M.confusion(found.select(names[F.col("label").cast("int")].alias("t"), pred.alias("q")), "t", "q")
