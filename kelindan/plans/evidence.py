@@ -200,7 +200,7 @@ def g10_aggregate_graph(spark, d):
     return G.aggregate_graph(E.co_reply(prep), kinds.withColumnRenamed("username", "node"), "Mass", "reply_count")
 
 
-@R.query("p9_keep_first", """SELECT video_url, row_no, account FROM (SELECT video_url, row_no, """ + account_sql("creator") + """ AS account, row_number() OVER (PARTITION BY video_url ORDER BY crawled_at DESC, row_no DESC) AS r FROM video_metadata_clean) WHERE r = 1""")
-def p9_keep_first(spark, d):
+@R.query("proj_p9_keep_first", """SELECT video_url, row_no, account FROM (SELECT video_url, row_no, """ + account_sql("creator") + """ AS account, row_number() OVER (PARTITION BY video_url ORDER BY crawled_at DESC, row_no DESC) AS r FROM video_metadata_clean) WHERE r = 1""")
+def proj_p9_keep_first(spark, d):
     last = E.keep_first(table(spark, d, "video_metadata_clean"), ["video_url"], [F.desc("crawled_at"), F.desc("row_no")])
     return last.select("video_url", "row_no", N.account(F.col("creator")).alias("account"))

@@ -182,7 +182,7 @@ def _registry(spark, d):
 
 
 @R.query("m7_allocation", _REG + """, z AS (SELECT source_file, count(*) AS size FROM s GROUP BY 1), e AS (SELECT *, size * 100 / sum(size) OVER () AS x FROM z), f AS (SELECT *, floor(x) AS fl, 100 - sum(floor(x)) OVER () AS rest, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, source_file) AS r FROM e)
- SELECT source_file, size, (fl + CASE WHEN r <= rest THEN 1 ELSE 0 END)::BIGINT AS allocated FROM f""")
+ SELECT source_file, size, least(size, fl + CASE WHEN r <= rest THEN 1 ELSE 0 END)::BIGINT AS allocated FROM f""")
 def m7_allocation(spark, d):
     return S.largest_remainder(_registry(spark, d), "source_file", 100)
 

@@ -208,36 +208,36 @@ def union_by_name(spark, d):
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@R.query("p5_regex_filter", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '^[a-p].*[0-9]$') OR regexp_matches(p_type, '(?i)steel')")
-def p5_regex_filter(spark, d):
+@R.query("proj_p5_regex_filter", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '^[a-p].*[0-9]$') OR regexp_matches(p_type, '(?i)steel')")
+def proj_p5_regex_filter(spark, d):
     return table(spark, d, "part").where(F.lower("p_name").rlike("^[a-p].*[0-9]$") | F.col("p_type").rlike("(?i)steel")).select("p_partkey")
 
 
-@R.query("p6_case_when", "SELECT CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS kind, count(*) AS n FROM customer GROUP BY 1")
-def p6_case_when(spark, d):
+@R.query("proj_p6_case_when", "SELECT CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS kind, count(*) AS n FROM customer GROUP BY 1")
+def proj_p6_case_when(spark, d):
     kind = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "low").otherwise("high")
     return table(spark, d, "customer").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("p8_fallback", "SELECT record_id, coalesce(nullif(trim(brand_or_video_context), ''), nullif(trim(sampling_stratum), ''), 'none') AS context FROM sample_registry")
-def p8_fallback(spark, d):
+@R.query("proj_p8_fallback", "SELECT record_id, coalesce(nullif(trim(brand_or_video_context), ''), nullif(trim(sampling_stratum), ''), 'none') AS context FROM sample_registry")
+def proj_p8_fallback(spark, d):
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return table(spark, d, "sample_registry").select("record_id", F.coalesce(blank("brand_or_video_context"), blank("sampling_stratum"), F.lit("none")).alias("context"))
 
 
-@R.query("p10_distinct_rows", "SELECT count(*) AS n FROM (SELECT DISTINCT * FROM hcc_hashtag_profile)")
-def p10_distinct_rows(spark, d):
+@R.query("proj_p10_distinct_rows", "SELECT count(*) AS n FROM (SELECT DISTINCT * FROM hcc_hashtag_profile)")
+def proj_p10_distinct_rows(spark, d):
     return table(spark, d, "hcc_hashtag_profile").distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("p12_validity", "SELECT count(*) AS n, count_if(cosine_similarity_char5 BETWEEN 0 AND 1) AS valid, count_if(cosine_similarity_char5 IS NULL) AS missing FROM comment_similarity_pairs")
-def p12_validity(spark, d):
+@R.query("proj_p12_validity", "SELECT count(*) AS n, count_if(cosine_similarity_char5 BETWEEN 0 AND 1) AS valid, count_if(cosine_similarity_char5 IS NULL) AS missing FROM comment_similarity_pairs")
+def proj_p12_validity(spark, d):
     s = F.col("cosine_similarity_char5")
     return table(spark, d, "comment_similarity_pairs").agg(F.count(F.lit(1)).alias("n"), F.count_if(s.between(0, 1)).alias("valid"), F.count_if(s.isNull()).alias("missing"))
 
 
-@R.query("p13_canonical_labels", """SELECT CASE regexp_replace(lower(trim(candidate_type)), '[^a-z]+', '_', 'g') WHEN 'exact_copypasta' THEN 'EXACT' WHEN 'near_copypasta' THEN 'NEAR' ELSE 'OTHER' END AS label, count(*) AS n FROM hcc_copypasta_candidates GROUP BY 1""")
-def p13_canonical_labels(spark, d):
+@R.query("proj_p13_canonical_labels", """SELECT CASE regexp_replace(lower(trim(candidate_type)), '[^a-z]+', '_', 'g') WHEN 'exact_copypasta' THEN 'EXACT' WHEN 'near_copypasta' THEN 'NEAR' ELSE 'OTHER' END AS label, count(*) AS n FROM hcc_copypasta_candidates GROUP BY 1""")
+def proj_p13_canonical_labels(spark, d):
     written = F.regexp_replace(F.lower(F.trim("candidate_type")), "[^a-z]+", "_")
     known = F.create_map(F.lit("exact_copypasta"), F.lit("EXACT"), F.lit("near_copypasta"), F.lit("NEAR"))
     return table(spark, d, "hcc_copypasta_candidates").groupBy(F.coalesce(F.try_element_at(known, written), F.lit("OTHER")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -255,9 +255,9 @@ def t21_either_side(spark, d):
     return once.groupBy("actor_pair_type").agg(F.sum("n").alias("n"), F.count("x").alias("n_comments"))
 
 
-@R.query("p7_pair_labels", """SELECT CASE WHEN rank_a <= rank_b THEN a || '–' || b ELSE b || '–' || a END AS label, count(*) AS n FROM (SELECT *, list_position(['click', 'error', 'purchase', 'signup', 'view'], a) AS rank_a, list_position(['click', 'error', 'purchase', 'signup', 'view'], b) AS rank_b
+@R.query("proj_p7_pair_labels", """SELECT CASE WHEN rank_a <= rank_b THEN a || '–' || b ELSE b || '–' || a END AS label, count(*) AS n FROM (SELECT *, list_position(['click', 'error', 'purchase', 'signup', 'view'], a) AS rank_a, list_position(['click', 'error', 'purchase', 'signup', 'view'], b) AS rank_b
  FROM (SELECT e.event_type AS a, f.event_type AS b FROM events e JOIN events f ON e.user_id = f.user_id AND e.event_id + 1 = f.event_id)) GROUP BY 1""")
-def p7_pair_labels(spark, d):
+def proj_p7_pair_labels(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("a"))
     f = table(spark, d, "events").select((F.col("event_id") - 1).alias("event_id"), "user_id", F.col("event_type").alias("b"))
     rank = F.create_map(*[F.lit(x) for i, name in enumerate(("click", "error", "purchase", "signup", "view")) for x in (name, i)])
