@@ -46,16 +46,18 @@ def canonical(a: Column, b: Column) -> list[Column]:
 def co_conv(seen: DataFrame, left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
     """``(source, target, co_conv_weight)``: pairs of a left and a right account with at least ``least`` common videos.
 
-    An account with fewer than ``least`` videos can be in no such pair and leaves
-    before the self-join, which is what keeps one hot video from pairing all its
-    accounts. An account on both sides pairs with the others once.
+    Each account's ``least - 1`` most popular videos are not indexed: a pair with ``least`` common
+    videos still shares one that both index (the rarest of them at the latest). So the accounts of a hot video
+    aren't paired for being there, and an account with fewer than ``least`` videos pairs with none. The
+    pairs that meet get their exact count. An account on both sides pairs with the others once.
     """
-    active = seen.groupBy("username").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("username")
-    kept = seen.join(active, "username", "left_semi")
+    popularity = seen.groupBy("video").agg(F.count(F.lit(1)).alias("_p"))
+    ranked = seen.join(popularity, "video").withColumn("_r", F.row_number().over(Window.partitionBy("username").orderBy(F.desc("_p"), F.desc("video"))))
+    kept = ranked.where(F.col("_r") >= least).select("username", "video")
     a = kept.join(left.select("username").distinct(), "username", "left_semi").select(F.col("username").alias("a"), "video")
     b = kept.join(right.select("username").distinct(), "username", "left_semi").select(F.col("username").alias("b"), "video")
-    pairs = a.join(b, "video").where("a <> b").select(*canonical(F.col("a"), F.col("b")), "video").distinct()
-    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("co_conv_weight")).where(F.col("co_conv_weight") >= least)
+    pairs = a.join(b, "video").where("a <> b").select(*canonical(F.col("a"), F.col("b"))).distinct()
+    return shared_videos_of(pairs, seen).where(F.col("co_conv_weight") >= least)
 
 
 def shared_videos_of(pairs: DataFrame, seen: DataFrame) -> DataFrame:

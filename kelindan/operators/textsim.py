@@ -32,20 +32,25 @@ def tfidf(texts: DataFrame, n: int = 5, min_df: int = 2) -> DataFrame:
     return raw.select("text_id", "gram", "df", (F.col("v") / norm).alias("w"))
 
 
-def similar_texts(vectors: DataFrame, least: float = 0.70) -> DataFrame:
+def similar_texts(vectors: DataFrame, least: float = 0.70, slack: float = 0.12) -> DataFrame:
     """``(a, b, score)``: all pairs with a cosine of at least ``least``, a < b.
 
     Only a prefix of each vector is indexed: its rarest grams, until the norm of
-    what is left falls below ``least`` (what is left can then not reach the threshold with any unit
-    vector). A pair that qualifies shares an indexed gram of both. Common grams, whose
-    lists would be quadratic, are rarely indexed. Candidates get their exact product.
+    what is left falls below ``least - slack``. Of two vectors, the common grams outside both prefixes lie in
+    the rest of the one whose prefix ends first, so they add at most the norm of that rest: the
+    product over common indexed grams must make up the difference to ``least``. Few pairs pass that
+    sum, and only those are multiplied out. Common grams, whose lists are quadratic, are rarely indexed. No pair is lost.
     """
     held = stage(vectors, "tfidf")
-    order = Window.partitionBy("text_id").orderBy(F.desc("df"), F.desc("gram"))
-    tail = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    index = held.withColumn("tail", tail).where(F.col("tail") >= least * least - 1e-9).select("gram", "text_id")
-    a, b = index.select("gram", F.col("text_id").alias("a")), index.select("gram", F.col("text_id").alias("b"))
-    pairs = a.join(b, "gram").where("a < b").select("a", "b").distinct()
+    bound = max(least - slack, 0.0)
+    by = Window.partitionBy("text_id")
+    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(by.orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)))
+    marked = held.withColumn("tail", tail).withColumn("rest", F.coalesce(F.max(F.when(F.col("tail") < bound, F.col("tail"))).over(by), F.lit(0.0)))
+    index = marked.where(F.col("tail") >= bound).select("gram", "text_id", "w", "rest")
+    a = index.select("gram", F.col("text_id").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    b = index.select("gram", F.col("text_id").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    met = a.join(b, "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("ra", "rb")).alias("rest"))
+    pairs = met.where(F.col("part") + F.col("rest") >= least - 1e-9).select("a", "b")
     left, right = held.select(F.col("text_id").alias("a"), "gram", F.col("w").alias("wa")), held.select(F.col("text_id").alias("b"), "gram", F.col("w").alias("wb"))
     dots = pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
     return dots.where(F.col("score") >= least).select("a", "b", F.least(F.col("score"), F.lit(1.0)).alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelindan.functions.normalize import account
 from kelindan.operators.evidence import prepare_comments, remaining_accounts
 from kelindan.plans.registry import table
+from kelindan.session import stage
 
 
 def account_sql(c: str) -> str:
@@ -27,8 +28,14 @@ mass AS (SELECT DISTINCT username FROM prep WHERE username IS NOT NULL AND usern
 seen AS (SELECT DISTINCT username, video FROM prep WHERE username IS NOT NULL AND video IS NOT NULL)"""
 
 
-def comments(spark, d) -> DataFrame:
-    return prepare_comments(table(spark, d, "comments"))
+#: what the account and graph queries use of a comment
+LEAN = ("comment_id", "username", "parent_user", "video", "ts", "parent_comment_id")
+
+
+def comments(spark, d, columns: tuple[str, ...] | None = LEAN) -> DataFrame:
+    """Prepared comments. With ``columns``, these are staged once, for plans that read them several times; without, the lazy whole."""
+    whole = prepare_comments(table(spark, d, "comments"))
+    return stage(whole.select(*columns), "comments") if columns else whole
 
 
 def makers(spark, d) -> DataFrame:

@@ -16,7 +16,7 @@ R = Registry()
 
 @R.query("c1_prepare", PREP + " SELECT comment_id, username, parent_user, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text, parent_user IS NOT NULL AS is_reply, length(text) AS n_chars FROM prep")
 def c1_prepare(spark, d):
-    return comments(spark, d).select("comment_id", "username", "parent_user", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts_text"), "is_reply", F.length("text").cast("bigint").alias("n_chars"))
+    return comments(spark, d, None).select("comment_id", "username", "parent_user", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts_text"), "is_reply", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @R.query("c2_mass_accounts", PREP + " SELECT username FROM mass")
@@ -48,12 +48,12 @@ def c3_co_conv(spark, d):
 
 @R.query("c4_co_reply", PREP + _REPLY + " SELECT source, target, n AS reply_count, w AS co_reply_weight, w >= 2 AS passes FROM reply")
 def c4_co_reply(spark, d):
-    return E.co_reply(comments(spark, d))
+    return E.co_reply(comments(spark, d, None))
 
 
 @R.query("c5_window", PREP + _GAPS + " SELECT m AS window_minutes FROM win")
 def c5_window(spark, d):
-    return E.calibrated_window(comments(spark, d))
+    return E.calibrated_window(comments(spark, d, None))
 
 
 @R.query("c6_co_temporal", PREP + _TEMPORAL + " SELECT source, target, w AS co_temporal_weight FROM temporal WHERE w >= 2")
@@ -64,7 +64,7 @@ def c6_co_temporal(spark, d):
 
 def _edges(spark, d):
     """Pairs that pass any threshold, with all three weights."""
-    prep = stage(comments(spark, d), "prep")
+    prep = comments(spark, d)
     creators = makers(spark, d)
     inside, outside, seen = members(prep, creators), mass(prep, creators), E.incidence(prep)
     conv = E.co_conv(seen, inside, outside, LEAST)

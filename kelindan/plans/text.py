@@ -99,7 +99,7 @@ def t11_cluster_sizes(spark, d):
  SELECT text, n_rows, n_accounts, n_videos, (n_rows * (n_rows - 1)) // 2 AS n_pairs, same AS n_same_account_pairs, (n_rows * (n_rows - 1)) // 2 - same AS n_cross_account_pairs
  FROM (SELECT text, sum(n)::BIGINT AS n_rows, count(username) AS n_accounts, coalesce(sum((n * (n - 1)) // 2) FILTER (username IS NOT NULL), 0)::BIGINT AS same FROM u GROUP BY 1 HAVING sum(n) > 1) JOIN (SELECT text, count(DISTINCT video) AS n_videos FROM g GROUP BY 1) USING (text)""")
 def t7_exact_groups(spark, d):
-    return T.exact_groups(comments(spark, d), "text", "username", "video")
+    return T.exact_groups(comments(spark, d, None), "text", "username", "video")
 
 
 @R.query("t8_numbered", "SELECT pair_id, 'SIM_PAIR_' || lpad(row_number() OVER (ORDER BY cosine_similarity_char5 DESC NULLS LAST, pair_id)::VARCHAR, 9, '0') AS number FROM comment_similarity_pairs")
@@ -113,7 +113,7 @@ def t8_numbered(spark, d):
 def t13_bounded_join(spark, d):
     from kelindan.operators.evidence import incidence
 
-    return incidence(comments(spark, d)).groupBy("username").agg(F.collect_set("video").alias("a")).select("username", N.bounded_join(F.col("a")).alias("videos"))
+    return incidence(comments(spark, d, None)).groupBy("username").agg(F.collect_set("video").alias("a")).select("username", N.bounded_join(F.col("a")).alias("videos"))
 
 
 @R.query("t14_common_values", """WITH c AS (SELECT creator AS k, product_category AS v, count(*) AS n FROM video_metadata_clean WHERE trim(product_category) <> '' AND creator IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, v) AS r FROM c)
