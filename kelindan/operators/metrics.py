@@ -7,10 +7,12 @@ combining; the closed forms run on those few rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,3 +167,48 @@ def mcnemar(df: DataFrame, correct_a: Column, correct_b: Column) -> DataFrame:
 def soft_labels(counts: dict[str, Column]) -> dict[str, Column]:
     """Softmax of margins by label."""
     return dict(zip(counts, softmax(list(counts.values())), strict=True))
+
+
+def paired_bootstrap(cells: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """One row (delta, ci_low, ci_high, p_better): accuracy of b minus accuracy of a over the same resamples.
+
+    ``cells`` has (a, b, n): how often either was right; resampled as in ``bootstrap_macro_f1``.
+    """
+    rows = {(bool(r.a), bool(r.b)): int(r.n) for r in cells.where("a is not null and b is not null").collect()}  # four cells
+    keys = [(False, False), (False, True), (True, False), (True, True)]
+    n = np.array([rows.get(k, 0) for k in keys], dtype=float)
+    total = int(n.sum())
+    schema = "delta double, ci_low double, ci_high double, p_better double"
+    if not total:
+        return cells.sparkSession.createDataFrame([(None, None, None, None)], schema)
+    sample = np.random.default_rng(seed).multinomial(total, n / total, draws)
+    delta = (sample[:, 1] - sample[:, 2]) / total
+    lo, hi = np.percentile(delta, [2.5, 97.5])
+    return cells.sparkSession.createDataFrame([(float((n[1] - n[2]) / total), float(lo), float(hi), float((delta > 0).mean()))], schema)
+
+
+def dominant_stability(counts: DataFrame, group: str, label: str, n: str, labels: Sequence[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """``(group, dominant, stability)``: the most frequent label of each group and the share of resamples that agree.
+
+    ``counts`` has one row per group and label. Each group is resampled from its counts, with a
+    seed of its own, so the result doesn't depend on partitioning; ties go to the first label.
+    """
+    order = list(labels)
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for g, pairs in zip(f["g"], f["pairs"], strict=True):
+                x = np.zeros(len(order))
+                for p in pairs:
+                    if p["l"] in order:
+                        x[order.index(p["l"])] += p["n"]
+                total = int(x.sum())
+                if total:
+                    sample = np.random.default_rng([seed, zlib.crc32(str(g).encode())]).multinomial(total, x / total, draws)
+                    best = int(np.argmax(x))
+                    out.append((g, order[best], float((sample.argmax(axis=1) == best).mean())))
+            yield pd.DataFrame(out, columns=[group, "dominant", "stability"])
+
+    wide = counts.groupBy(F.col(group).cast("string").alias("g")).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(n).alias("n"))).alias("pairs"))  # one entry per label
+    return wide.mapInPandas(run, f"{group} string, dominant string, stability double")

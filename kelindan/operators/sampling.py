@@ -90,3 +90,24 @@ def without_leaks(df: DataFrame, cluster: str, role: str, protected: Sequence[st
 def split_leaks(df: DataFrame, key: str, role: str) -> DataFrame:
     """``(key, n_roles)`` of keys that occur in several roles (Q7), by two mergeable aggregates."""
     return df.where(F.col(key).isNotNull() & F.col(role).isNotNull()).groupBy(key, role).agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("n_roles")).where("n_roles > 1")
+
+
+def capped_pick(df: DataFrame, order: Sequence[Column], caps: dict[str, int], total: int) -> DataFrame:
+    """Up to ``total`` rows in order, skipping rows of a value whose cap is reached.
+
+    A row behind ``total`` earlier rows of each of its values can't be needed, so only the
+    first ``total`` rows of each combination of values come to the driver.
+    """
+    names = list(caps)
+    first = df.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy(*order))).where(F.col("_r") <= total).drop("_r").orderBy(*order)
+    used: dict[tuple, int] = {}
+    picked = []
+    for row in first.toLocalIterator():
+        keys = [(c, row[c]) for c in names]
+        if all(used.get(k, 0) < caps[k[0]] for k in keys):
+            picked.append(row)
+            for k in keys:
+                used[k] = used.get(k, 0) + 1
+        if len(picked) == total:
+            break
+    return df.sparkSession.createDataFrame(picked, df.schema)

@@ -22,10 +22,13 @@ def distinct_texts(df: DataFrame, column: str) -> DataFrame:
 
 
 def tfidf(texts: DataFrame, n: int = 5, min_df: int = 2) -> DataFrame:
-    """``(text_id, gram, w)``: sublinear tf, smooth idf, unit norm, grams in at least ``min_df`` texts (T4)."""
+    """``(text_id, gram, df, w)``: sublinear tf, smooth idf, unit norm, grams in at least ``min_df`` texts (T4).
+
+    An id may have several rows: its grams are summed, so long texts needn't be put together.
+    """
     tf = texts.select("text_id", F.explode(grams_of(F.col("text"), n)).alias("gram")).groupBy("text_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    total = texts.agg(F.count(F.lit(1)).alias("n"))
+    total = texts.select("text_id").distinct().agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     raw = tf.join(df, "gram").crossJoin(F.broadcast(total)).select("text_id", "gram", "df", ((1 + F.log("tf")) * idf).alias("v"))  # one row
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("text_id")))
