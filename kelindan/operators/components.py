@@ -24,6 +24,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u > v) are stars: every u has one v, and no v is a u."""
+    n = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u")).first()
+    return n.n == n.u and edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
+
+
+def merge_components(components: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``components`` (node, component) after more edges are known: only the components that the edges touch are searched.
+
+    Nodes that only the new edges name are added.
+    """
+    a, b = (components.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in ("_s", "_t"))
+    given = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_t"))
+    between = given.join(a, "_s", "left").join(b, "_t", "left").select(F.coalesce("__s", "_s").alias("src"), F.coalesce("__t", "_t").alias("dst"))
+    joined = connected_components(between).withColumnRenamed("component", "_new")
+    moved = components.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
+    fresh = joined.join(components.select("node"), "node", "left_anti").select("node", F.col("_new").alias("component"))
+    return moved.unionByName(fresh)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an edge; ``component`` is the least node of its component.
 
@@ -37,15 +57,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = given.where("u = v").select("u").distinct()
     current = stage(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
     for _ in range(max_rounds):
+        if _settled(current):
+            break
         step = stage(_small_star(_large_star(current)).distinct(), "stars")
-        mark = tuple(step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         unstage(current)
         current = step
-        if mark == seen:
-            break
-        seen = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

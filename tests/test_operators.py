@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kelindan.functions import normalize as N
 from kelindan.functions.stats import bin_of, cut_right, softmax, wilson
 from kelindan.operators import checks, evidence, graph, joins, metrics, profiles, sampling, textsim, typology
-from kelindan.operators.components import connected_components
+from kelindan.operators.components import connected_components, merge_components
 
 
 def one(spark, column):
@@ -142,6 +142,14 @@ def test_components_random(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_components_merge(spark):
+    first = [(1, 2), (3, 4), (5, 6), (8, 9)]
+    more = [(4, 6), (7, 2), (11, 12), (12, 13), (8, 9)]
+    df = lambda e: spark.createDataFrame(e, "src long, dst long")
+    got = {r.node: r.component for r in merge_components(connected_components(df(first)), df(more)).collect()}
+    assert got == {r.node: r.component for r in connected_components(df(first + more)).collect()}
+
+
 def test_betweenness_and_louvain():
     path = [("a", "b", 1.0), ("b", "c", 1.0)]
     assert graph.betweenness_of(path) == {"a": 0.0, "b": 1.0, "c": 0.0}
