@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelindan.operators.components import connected_components
+from kelindan.operators.components import connected_components, merge_components
 from kelindan.session import stage, unstage
 
 #: A pair agrees in MATCHES coordinates or more with probability 0.973 at similarity 0.6, 0.996 at 0.65, 0.9998 at 0.7.
@@ -160,11 +160,11 @@ def near_duplicate_classes(
     """
     rows_ = stage(_identified(df), "nd-rows")
     texts = rows_.where("rid is not null").select("rid", "text", "src")
+    # one exchange by pk serves the window and the distinct
     by_key = Window.partitionBy("pk")
     posted = postings(texts, coordinates, rows).repartition("pk")
-    lists = posted.withColumns({"a": F.min("rid").over(by_key), "z": F.max("rid").over(by_key)}).where("a < z")
-    # the exchange by pk serves the window and the distinct alike
-    lists = stage(lists.select("pk", "a", F.col("rid").alias("b")).where("a <> b").distinct(), "nd-lists")
+    lists = posted.withColumns({"a": F.min("rid").over(by_key), "z": F.max("rid").over(by_key), "n": F.count(F.lit(1)).over(by_key)}).where("a < z and rid <> a")
+    lists = stage(lists.select("pk", "a", F.col("rid").alias("b"), "n").distinct(), "nd-lists")
 
     counted = lists.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("m"))
     counted = stage(counted, "nd-counts")
@@ -172,19 +172,16 @@ def near_duplicate_classes(
     found = stage(connected_components(links, "a", "b"), "nd-comps")
 
     of = found.select(F.col("node").alias("b"), F.col("component").alias("g"))
-    open_lists = lists.join(of, "b", "left").select("pk", "b", F.coalesce("g", "b").alias("g"))
-    mixed = open_lists.groupBy("pk").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("pk")
-    rest = open_lists.join(mixed, "pk", "left_semi")
+    open_lists = lists.where("n > 2").join(of, "b", "left").select("pk", "b", F.coalesce("g", "b").alias("g"))
+    rest = open_lists.withColumns({"lo": F.min("g").over(by_key), "hi": F.max("g").over(by_key)}).where("lo <> hi")
     x, y = rest.select("pk", F.col("b").alias("x"), F.col("g").alias("gx")), rest.select("pk", F.col("b").alias("y"), F.col("g").alias("gy"))
-    among = x.join(y, "pk").where("x < y and gx <> gy").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("m"), F.lit(True).alias("new"))
-    total = among.unionByName(counted.where(F.col("m") < min_matches).withColumn("new", F.lit(False)))
-    # pairs counted to min_matches above have been compared already
-    more = total.groupBy("a", "b").agg(F.sum("m").alias("m"), F.max("new").alias("new")).where((F.col("m") >= min_matches) & F.col("new")).select("a", "b")
+    among = x.join(y, "pk").where("x < y and gx <> gy").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    # with the agreements counted above; pairs that had enough of them have been compared already
+    total = among.join(counted, ["a", "b"], "left").where(F.coalesce("m", F.lit(0)) < min_matches)
+    more = total.where(F.col("k") + F.coalesce("m", F.lit(0)) >= min_matches).select("a", "b")
     extra = stage(_compare(more, texts, num, den), "nd-extra")
     if not extra.isEmpty():
-        again = stage(connected_components(links.unionByName(extra), "a", "b"), "nd-comps")
-        unstage(found)
-        found = again
+        found = stage(merge_components(found, extra, "a", "b"), "nd-comps")
     comps = found.select(F.col("node").alias("rid"), F.col("component"))
     for done in (lists, counted):
         unstage(done)
