@@ -213,7 +213,10 @@ def truncated(docs: DataFrame) -> DataFrame:
     # one row: the share of links within texts that end in a slash
     slash = stats.where("kind = 'l'").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("w") == "/", F.col("n"))), F.sum("n")), F.lit(0.0)).alias("slash"))
 
-    joined = kept.join(known, "last", "left").join(lead, "prev", "left").crossJoin(F.broadcast(slash))
+    # documents without a last word get spread keys that match nothing: null keys would all meet in one task
+    spread = lambda c: F.coalesce(c, F.concat(F.lit("\x00"), F.pmod(F.col("h"), F.lit(9973)).cast("string")))
+    keyed = kept.withColumns({"last": spread(F.col("last")), "prev": spread(F.col("prev"))})
+    joined = keyed.join(known, "last", "left").join(lead, "prev", "left").crossJoin(F.broadcast(slash))
     flat = limits.groupBy("source").agg(
         *[F.max(F.when(F.col("unit") == u, F.col(c))).alias(f"{u}_{c}") for u in ("n_chars", "n_bytes", "n_base") for c in ("low", "high")]
     )
