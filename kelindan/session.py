@@ -25,7 +25,7 @@ DEFAULTS = {
 
 
 def get_spark(app: str = "kelindan", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the engine's defaults; ``conf`` uses ``_`` for nothing: pass full keys through a dict."""
+    """A session with the engine's defaults, overridden by ``conf`` (full keys, passed as ``**{...}``)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
