@@ -13,6 +13,7 @@ from kelindan.functions import normalize as N
 from kelindan.functions.stats import cut_right
 from kelindan.plans.domain import PREP, comments
 from kelindan.plans.registry import Registry, table
+from kelindan.session import stage
 
 R = Registry()
 
@@ -72,6 +73,15 @@ def j8_shared_items(spark, d):
     return E.co_conv(E.incidence(ev), side(0), side(1))
 
 
+@R.query("j8_all_shared_items", _EV + """, s AS (SELECT DISTINCT username, video FROM ev WHERE username IS NOT NULL AND video IS NOT NULL)
+ SELECT a.username AS source, b.username AS target, count(*) AS co_conv_weight FROM s a JOIN s b ON a.video = b.video AND a.username < b.username GROUP BY 1, 2 HAVING count(*) >= 3""")
+def j8_all_shared_items(spark, d):
+    """All accounts against each other; ``j8_shared_items`` is the two-sided form, whose sides its SQL fixes."""
+    seen = stage(E.incidence(_event_rows(spark, d)), "seen")
+    every = seen.select("username").distinct()
+    return E.co_conv(seen, every, every)
+
+
 @R.query("j10_band_join", _EV + """ SELECT least(a.username, b.username) AS source, greatest(a.username, b.username) AS target, count(DISTINCT a.video) AS co_temporal_weight FROM ev a JOIN ev b ON a.video = b.video AND a.username <> b.username AND epoch_us(b.ts) - epoch_us(a.ts) BETWEEN 0 AND 540000000
  GROUP BY 1, 2 HAVING count(DISTINCT a.video) >= 2""")
 def j10_band_join(spark, d):
