@@ -12,8 +12,7 @@ from kelindan.operators import metrics as M
 from kelindan.operators import sampling as S
 from kelindan.operators import textsim as T
 from kelindan.operators import typology as A
-from kelindan.operators.components import connected_components
-from kelindan.operators.joins import fuzzy_pairs
+from kelindan.operators.joins import text_clusters
 from kelindan.plans.domain import PREP, comments, makers, mass, members
 from kelindan.plans.evidence import _COMBINED, _edges
 from kelindan.plans.metrics import _PT, LABELS, _pt, _usable
@@ -196,8 +195,7 @@ def t19_review_queue(spark, d):
 
 @R.query("t26_identical_clusters")
 def t26_identical_clusters(spark, d):
-    pairs = fuzzy_pairs(table(spark, d, "hcc_copypasta_candidates"), "candidate_id", "normalized_comment")
-    return connected_components(pairs, "key_1", "key_2").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return text_clusters(table(spark, d, "hcc_copypasta_candidates"), "candidate_id", "normalized_comment").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.query("h8_group_similarity")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kelindan.functions import normalize as N
 from kelindan.operators import textsim as T
-from kelindan.operators.joins import fuzzy_pairs
+from kelindan.operators.joins import fuzzy_pairs, text_members
 from kelindan.plans.domain import PREP, comments
 from kelindan.plans.registry import Registry, table
 from kelindan.session import stage
@@ -150,6 +150,12 @@ def j18_fuzzy_pairs(spark, d):
     return fuzzy_pairs(table(spark, d, "hcc_copypasta_candidates"), "candidate_id", "normalized_comment")
 
 
+@R.query("j18_text_members", """SELECT candidate_id AS key, min(candidate_id) OVER (PARTITION BY normalized_comment) AS text_id FROM hcc_copypasta_candidates WHERE normalized_comment IS NOT NULL""")
+def j18_text_members(spark, d):
+    """The rows behind the texts that ``j18_fuzzy_pairs`` names."""
+    return text_members(table(spark, d, "hcc_copypasta_candidates"), "candidate_id", "normalized_comment")
+
+
 @R.query("m42_score_once", """WITH t AS (SELECT text, count(*) AS n FROM comments WHERE text IS NOT NULL GROUP BY 1) SELECT length(text) % 7 AS score, sum(n)::BIGINT AS n_rows, count(*) AS n_texts FROM t GROUP BY 1""")
 def m42_score_once(spark, d):
     once = table(spark, d, "comments").where("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"))

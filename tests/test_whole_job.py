@@ -15,3 +15,15 @@ def test_shared_items_pair_all_accounts(spark, tmp_path, rows):
     df.selectExpr("event_id", "user_id", "props", "cast(ts as timestamp_ntz) as ts", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
     want = sorted((*sorted((str(u), str(v))), n) for u, v in itertools.combinations(seen, 2) if (n := len({*seen[u]} & {*seen[v]})) >= 3)
     assert rows(entry.queries()["j8_all_shared_items"](spark, str(tmp_path)), "source", "target", "co_conv_weight") == sorted(want, key=repr) and want
+
+
+def test_text_clusters_count_every_copy(spark, tmp_path, rows):
+    long = "the same words are written here, over and over again"
+    texts = [long, long + "!", long, long + "!", "alone in this table, twice", "alone in this table, twice", "ok", "ok", "ok", "one of its kind", "", None]
+    df = spark.createDataFrame([(f"{i:02d}", t) for i, t in enumerate(texts)], "candidate_id string, normalized_comment string")
+    df.write.parquet(f"{tmp_path}/hcc_copypasta_candidates.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path))
+    assert rows(run("t26_identical_clusters"), "component", "n") == [("00", 4), ("04", 2), ("06", 3), ("09", 1), ("10", 1)]
+    ids = dict(rows(run("j18_text_members"), "key", "text_id"))
+    assert len(ids) == 11 and [(r.key_1, r.key_2) for r in run("j18_fuzzy_pairs").collect()] == [("00", "01")]
+    assert {k for k, t in ids.items() if t in ("00", "01")} == {"00", "01", "02", "03"}
