@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +63,100 @@ def similar_texts(vectors: DataFrame, least: float = 0.70, slack: float = 0.12)
     return dots.where(F.col("score") >= least).select("a", "b", F.least(F.col("score"), F.lit(1.0)).alias("score"))
 
 
+#: Cells of the histogram of cosines.
+CELLS = 10_000
+
+
+def group_similarity(vectors: DataFrame, groups: DataFrame, cuts: tuple[float, float] = (0.70, 0.85), block: int = 2048) -> DataFrame:
+    """``(group_id, n_texts, n_pairs, mean, median, most, n_070, n_085)`` over all n(n-1)/2 pairs of each group (H8).
+
+    ``groups`` is (text_id, group_id), a text may be in several groups. A text without a gram that another
+    has is orthogonal to all. A group of fewer than two texts has no pairs, and null for mean, median and most.
+
+    Each group is dealt into blocks of some ``block`` texts; a task multiplies two blocks and gives back a
+    histogram of ``CELLS`` cells. A second pass gives the cosines, at nine decimals, of the cells that hold the
+    middle ranks, and the median is exact among these.
+    """
+    members = groups.select("text_id", "group_id").distinct()
+    sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_texts"))
+    dealt = members.join(sizes.select("group_id", F.ceil(F.col("n_texts") / block).cast("int").alias("_nb")), "group_id").withColumn("_b", F.pmod(F.xxhash64("text_id", F.lit(7)), F.col("_nb")).cast("int"))
+    # every unordered pair of blocks (i <= j) is one task; a text goes to those that its block is in
+    packed = vectors.groupBy("text_id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("v")).select("text_id", F.col("v.g").alias("g"), F.col("v.w").alias("w"))
+    sent = packed.join(dealt, "text_id").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    sent = sent.select("group_id", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), F.col("_b").alias("b"), "g", "w")
+
+    def multiply(key: tuple, f: pd.DataFrame) -> Iterator[np.ndarray]:
+        _, i, j = key
+        terms, g = np.unique(np.concatenate(f["g"].to_list()), return_inverse=True)
+        w, t = np.concatenate(f["w"].to_list()), np.repeat(np.arange(len(f)), f["g"].map(len))
+        own = f["b"].to_numpy() == i
+        first, rows, others = own[t], np.cumsum(own) - 1, np.cumsum(~own) - 1
+        m, n = own.sum(), (~own).sum()
+        dots = np.zeros((m, m if i == j else n))
+        for at in range(0, len(terms), 2048):  # the vocabulary in slices, so a slice is a small dense matrix
+            here = (g >= at) & (g < at + 2048)
+            wide = min(2048, len(terms) - at)
+            a = np.zeros((m, wide))
+            one = here & first
+            a[rows[t[one]], g[one] - at] = w[one]
+            if i == j:
+                dots += a @ a.T
+            else:
+                b = np.zeros((n, wide))
+                two = here & ~first
+                b[others[t[two]], g[two] - at] = w[two]
+                dots += a @ b.T
+        for r in range(m):
+            yield np.clip(np.round(dots[r, r + 1 :] if i == j else dots[r], 9), 0.0, 1.0)
+
+    def summary(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        n, total, most = np.zeros(CELLS + 1, dtype=np.int64), np.zeros(CELLS + 1), np.zeros(CELLS + 1)
+        above = np.zeros((2, CELLS + 1), dtype=np.int64)
+        for v in multiply(key, f):
+            cell = (v * CELLS).astype(np.int64)
+            n += np.bincount(cell, minlength=CELLS + 1)
+            total += np.bincount(cell, v, minlength=CELLS + 1)
+            np.maximum.at(most, cell, v)
+            for a, cut in zip(above, cuts, strict=True):
+                a += np.bincount(cell[v >= cut - 1e-9], minlength=CELLS + 1)
+        c = np.nonzero(n)[0]
+        return pd.DataFrame({"group_id": [key[0]] * len(c), "cell": c, "n": n[c], "s": total[c], "most": most[c], "n_070": above[0][c], "n_085": above[1][c]})
+
+    def values(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        wanted, out = np.array(sorted({f["c0"].iloc[0], f["c1"].iloc[0]})), [np.zeros(0)]
+        for v in multiply(key, f):
+            out.append(v[np.isin((v * CELLS).astype(np.int64), wanted)])
+        score, many = np.unique(np.concatenate(out), return_counts=True)
+        return pd.DataFrame({"group_id": [key[0]] * len(score), "score": score, "n": many})
+
+    kind, by = members.schema["group_id"].dataType.simpleString(), ("group_id", "i", "j")
+    parts = sent.groupBy(*by).applyInPandas(summary, f"group_id {kind}, cell long, n long, s double, most double, n_070 long, n_085 long")
+    counts = stage(parts.groupBy("group_id", "cell").agg(*[F.sum(c).alias(c) for c in ("n", "s", "n_070", "n_085")], F.max("most").alias("most")), "cells")
+    # pairs with a text that has no gram: they are not met, their cosine is 0
+    pairs = sizes.select("group_id", "n_texts", (F.col("n_texts") * (F.col("n_texts") - 1) / 2).cast("bigint").alias("n_pairs"))
+    done = counts.groupBy("group_id").agg(F.sum("n").alias("_done"))
+    rest = pairs.join(done, "group_id", "left").select("group_id", (F.col("n_pairs") - F.coalesce("_done", F.lit(0))).alias("n")).where("n > 0")
+    every = counts.unionByName(rest.select("group_id", F.lit(0).cast("bigint").alias("cell"), "n", F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n_070"), F.lit(0).cast("bigint").alias("n_085"), F.lit(0.0).alias("most")))
+    every = every.groupBy("group_id", "cell").agg(*[F.sum(c).alias(c) for c in ("n", "s", "n_070", "n_085")], F.max("most").alias("most"))
+    stats = every.groupBy("group_id").agg(*[F.sum(c).alias(c) for c in ("s", "n_070", "n_085")], F.max("most").alias("most"))
+    before = Window.partitionBy("group_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # ranks from 0 of the two middle values, the same one for an odd number of pairs
+    lo, hi = F.floor((F.col("n_pairs") - 1) / 2), F.floor(F.col("n_pairs") / 2)
+    ranked = every.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0))).join(pairs, "group_id")
+    first = lambda r, c: F.max(F.when((F.col("_from") <= r) & (F.col("_from") + F.col("n") > r), F.col(c)))
+    held = stage(ranked.groupBy("group_id").agg(first(lo, "cell").alias("c0"), first(hi, "cell").alias("c1"), first(lo, "_from").alias("_f0"), F.first(lo).alias("_lo"), F.first(hi).alias("_hi")), "middle")
+    found = sent.join(held.select("group_id", "c0", "c1"), "group_id").groupBy(*by).applyInPandas(values, f"group_id {kind}, score double, n long")
+    inside = found.unionByName(rest.join(held.where("c0 = 0 or c1 = 0"), "group_id", "left_semi").select("group_id", F.lit(0.0).alias("score"), "n")).groupBy("group_id", "score").agg(F.sum("n").alias("n"))
+    run = Window.partitionBy("group_id").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    placed = inside.withColumn("_at", F.coalesce(F.sum("n").over(run), F.lit(0))).join(held, "group_id").withColumn("_at", F.col("_at") + F.col("_f0"))
+    holds = lambda r: F.max(F.when((F.col("_at") <= r) & (F.col("_at") + F.col("n") > r), F.col("score")))
+    middle = placed.groupBy("group_id").agg(((holds(F.col("_lo")) + holds(F.col("_hi"))) / 2).alias("median"))
+    sizes = pairs
+    total = F.col("n_pairs")
+    out = sizes.join(stats, "group_id", "left").join(middle, "group_id", "left")
+    return out.select("group_id", "n_texts", total.alias("n_pairs"), F.try_divide("s", total).alias("mean"), "median", "most", F.coalesce("n_070", F.lit(0)).alias("n_070"), F.coalesce("n_085", F.lit(0)).alias("n_085"))
+
+
 def nearest(pairs: DataFrame, k: int = 20) -> DataFrame:
     """Pairs that either text ranks among its k nearest (T5, J17); ties go to the smaller id."""
     both = pairs.select("a", "b", "score").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))

@@ -19,6 +19,7 @@ from kelindan.plans.metrics import _PT, LABELS, _pt, _usable
 from kelindan.plans.registry import Registry, table
 from kelindan.plans.text import _GRAMS, _named, _sims
 from kelindan.plans.typology import _PAR
+from kelindan.session import stage
 
 R = Registry()
 
@@ -200,15 +201,17 @@ def t26_identical_clusters(spark, d):
 
 @R.query("h8_group_similarity")
 def h8_group_similarity(spark, d):
-    """Similarity of a group's accounts by what they wrote: pairs, mean, median and greatest cosine, of those of at least 0.6."""
+    """Similarity of a group's accounts by what they wrote, over all pairs of accounts that wrote: mean, median, greatest cosine, and pairs of at least 0.70 and 0.85."""
     prep, creators = comments(spark, d, ("username", "text")), makers(spark, d)
     groups = members(prep, creators).withColumn("hcc_id", F.expr("cast(ascii(right(username, 1)) % 7 as bigint)"))
-    texts = prep.where("text <> ''").join(groups, "username").select(F.xxhash64("username").alias("text_id"), F.lower("text").alias("text"), "hcc_id").distinct()
-    scores = T.similar_texts(T.tfidf(texts.select("text_id", "text")), 0.6)
-    texts = texts.select("text_id", "hcc_id").distinct()
-    a, b = texts.select(F.col("text_id").alias("a"), F.col("hcc_id").alias("ga")), texts.select(F.col("text_id").alias("b"), F.col("hcc_id").alias("gb"))
-    inside = scores.join(a, "a").join(b, "b").where("ga = gb")
-    return inside.groupBy(F.col("ga").alias("hcc_id")).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.percentile("score", 0.5), 6).alias("median"), F.round(F.max("score"), 6).alias("most"))
+    texts = stage(prep.where("text <> ''").join(groups, "username").select(F.xxhash64("username").alias("text_id"), F.lower("text").alias("text"), F.col("hcc_id").alias("group_id")).distinct(), "texts")
+    found = T.group_similarity(stage(T.tfidf(texts.select("text_id", "text")), "tfidf"), texts.select("text_id", "group_id"))
+    every = groups.groupBy("hcc_id").agg(F.count(F.lit(1)).alias("n_accounts"))
+    six = lambda c: F.round(c, 6).alias(c)
+    return every.join(found.withColumnRenamed("group_id", "hcc_id"), "hcc_id", "left").select(
+        "hcc_id", "n_accounts", *[F.coalesce(c, F.lit(0)).alias(o) for c, o in (("n_texts", "n_with_text"), ("n_pairs", "n_pairs"))], six("mean"), six("median"), six("most"),
+        F.coalesce("n_070", F.lit(0)).alias("n_070"), F.coalesce("n_085", F.lit(0)).alias("n_085"),
+    )
 
 
 @R.query("win_order_share", "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 9) AS share FROM orders WHERE o_orderpriority = '5-LOW'")

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
+import random
+import statistics
+
+import pytest
 
 import __spark_entry__ as entry
+from kelindan.operators import textsim
 
 
 def test_shared_items_pair_all_accounts(spark, tmp_path, rows):
@@ -27,3 +33,35 @@ def test_text_clusters_count_every_copy(spark, tmp_path, rows):
     ids = dict(rows(run("j18_text_members"), "key", "text_id"))
     assert len(ids) == 11 and [(r.key_1, r.key_2) for r in run("j18_fuzzy_pairs").collect()] == [("00", "01")]
     assert {k for k, t in ids.items() if t in ("00", "01")} == {"00", "01", "02", "03"}
+
+
+def test_group_similarity_is_over_all_pairs(spark):
+    rng = random.Random(5)
+    vectors, groups = [], []
+    for k in range(60):
+        raw = {f"g{rng.randrange(40)}": rng.random() for _ in range(4)} if k % 9 else {}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        vectors += [(k, g, x / norm) for g, x in raw.items()]
+        groups.append((k, k % 3))
+    vectors += [(k, "only", 1.0) for k in (100, 101)] + [(200, "only", 1.0)]
+    groups += [(100, 7), (101, 7), (200, 8), (60, 9), (61, 9)]  # all alike, one text, and texts without grams
+    got = {r.group_id: r for r in textsim.group_similarity(spark.createDataFrame(vectors, "text_id long, gram string, w double"), spark.createDataFrame(groups, "text_id long, group_id long"), block=7).collect()}
+    vec = {}
+    for k, g, w in vectors:
+        vec.setdefault(k, {})[g] = w
+    for group in {g for _, g in groups}:
+        own = [k for k, g in groups if g == group]
+        dots = [sum(w * vec.get(b, {}).get(g, 0.0) for g, w in vec.get(a, {}).items()) for a, b in itertools.combinations(own, 2)]
+        r = got[group]
+        assert (r.n_texts, r.n_pairs, r.n_070, r.n_085) == (len(own), len(dots), sum(x >= 0.7 for x in dots), sum(x >= 0.85 for x in dots))
+        if not dots:
+            assert (r.mean, r.median, r.most) == (None, None, None)
+            continue
+        # the mean in closed form: |sum of unit vectors|^2 - number of unit vectors is twice the sum of cosines
+        total = {}
+        for k in own:
+            for g, w in vec.get(k, {}).items():
+                total[g] = total.get(g, 0.0) + w
+        closed = (sum(x * x for x in total.values()) - sum(k in vec for k in own)) / 2 / len(dots)
+        assert (r.mean, r.median, r.most) == (pytest.approx(closed, abs=1e-8), pytest.approx(statistics.median(dots), abs=1e-8), pytest.approx(max(dots), abs=1e-8))
+    assert got[0].median < 0.6 and got[9].most == 0.0
