@@ -12,6 +12,7 @@ from kelindan.operators import joins as J
 from kelindan.functions import normalize as N
 from kelindan.functions.stats import cut_right
 from kelindan.plans.domain import PREP, comments
+from kelindan.plans.evidence import _edges
 from kelindan.plans.registry import Registry, table
 from kelindan.session import stage
 
@@ -321,29 +322,28 @@ def g12_structural_hash(spark, d):
     return G.structural_hash(E.co_reply(comments(spark, d)), "source", "target", "reply_count")
 
 
-def _reply_graph(spark, d):
+def _graph(spark, d):
+    """The whole combined graph with ``final_weight`` as w, and its components."""
     from kelindan.operators.components import connected_components
-    from kelindan.session import stage
 
-    edges = stage(E.co_reply(comments(spark, d)).where("reply_count >= 2").select("source", "target", F.col("reply_count").cast("double").alias("w")), "edges")
-    return edges, connected_components(edges, "source", "target")
+    edges = stage(_edges(spark, d).select("source", "target", F.col("final_weight").alias("w")), "edges")
+    return edges, stage(connected_components(edges, "source", "target"), "groups")
 
 
 @R.query("g4_betweenness")
 def g4_betweenness(spark, d):
-    edges, groups = _reply_graph(spark, d)
-    return G.per_group(edges, groups, "betweenness", "w").select("node", F.round("score", 9).alias("betweenness"))
+    return G.betweenness(*_graph(spark, d)).select("node", F.round("score", 9).alias("betweenness"))
 
 
 @R.query("g5_louvain")
 def g5_louvain(spark, d):
-    edges, groups = _reply_graph(spark, d)
+    edges, groups = _graph(spark, d)
     return G.per_group(edges, groups, "louvain", "w").select("node", "community")
 
 
 @R.query("g6_focal_sets")
 def g6_focal_sets(spark, d):
-    edges, groups = _reply_graph(spark, d)
+    edges, groups = _graph(spark, d)
     mean = edges.agg(F.avg("w").alias("m")).first().m or 0.0
     found = G.per_group(edges, groups, "focal", "w", floor=mean).where("community is not null")
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.max("score"), 9).alias("mean_edge_weight")).withColumn("is_focal", F.col("n_nodes") >= 3)

@@ -10,7 +10,8 @@ import statistics
 import pytest
 
 import __spark_entry__ as entry
-from kelindan.operators import textsim
+from kelindan.operators import graph, textsim
+from kelindan.operators.components import connected_components
 
 
 def test_shared_items_pair_all_accounts(spark, tmp_path, rows):
@@ -65,3 +66,22 @@ def test_group_similarity_is_over_all_pairs(spark):
         closed = (sum(x * x for x in total.values()) - sum(k in vec for k in own)) / 2 / len(dots)
         assert (r.mean, r.median, r.most) == (pytest.approx(closed, abs=1e-8), pytest.approx(statistics.median(dots), abs=1e-8), pytest.approx(max(dots), abs=1e-8))
     assert got[0].median < 0.6 and got[9].most == 0.0
+
+
+def test_betweenness_in_blocks_equals_one_task(spark):
+    rng = random.Random(4)
+    e = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(55)} | {(90, 91), (95, 96), (96, 97)}
+    data = [(f"{a:02d}", f"{b:02d}", 1.0) for a, b in e]
+    edges = spark.createDataFrame(data, "source string, target string, w double")
+    groups = connected_components(edges, "source", "target")
+    own = {r.node: r.component for r in groups.collect()}
+    want = {v: x for c in set(own.values()) for v, x in graph.betweenness_of([r for r in data if own[r[0]] == c]).items()}
+    got = {r.node: r.score for r in graph.betweenness(edges, groups, block=7, batch=3).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and max(got.values()) > 0
+
+
+def test_graph_queries_take_the_combined_graph(spark):
+    d = "/root/testdata/sf0.001"
+    nodes = {x for r in entry.queries()["c7_combined"](spark, d).collect() for x in (r.source, r.target)}
+    for name in ("g4_betweenness", "g5_louvain"):
+        assert {r.node for r in entry.queries()[name](spark, d).collect()} == nodes
