@@ -118,13 +118,19 @@ def _numbers(text: str, low: str) -> Iterator[Span]:
         if sum(b - a for a, b in groups) < 8:
             continue
         ahead = low[max(0, groups[0][0] - 26) : groups[0][0]].rstrip("(+ ")
-        near = range(len(groups)) if len(groups) <= 8 else (0, 1, 2, *range(len(groups) - 3, len(groups)))
-        pairs = {(i, j) for i in near for j in near if i <= j}
-        for i, j in sorted(pairs):
+        # every span of 8 to 22 digits: at most 22 groups from each start
+        pairs = []
+        for i in range(len(groups)):
+            size = 0
+            for j in range(i, len(groups)):
+                size += groups[j][1] - groups[j][0]
+                if size > 22:
+                    break
+                if size >= 8:
+                    pairs.append((i, j))
+        for i, j in pairs:
             a, b = groups[i][0], groups[j][1]
             digits = "".join(text[x:y] for x, y in groups[i : j + 1])
-            if not 8 <= len(digits) <= 22:
-                continue
             seps = {text[groups[k][1] : groups[k + 1][0]] for k in range(i, j)}
             sep = 0.0 if not seps else {" ": 1.0, ".": 2.0, "-": 3.0}.get(next(iter(seps)), 4.0) if len(seps) == 1 else 5.0
             sizes = [y - x for x, y in groups[i : j + 1]]

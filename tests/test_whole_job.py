@@ -10,6 +10,7 @@ import statistics
 import pytest
 
 import __spark_entry__ as entry
+from kelindan.llm import pii
 from kelindan.operators import graph, textsim
 from kelindan.operators.components import connected_components
 
@@ -85,3 +86,12 @@ def test_graph_queries_take_the_combined_graph(spark):
     nodes = {x for r in entry.queries()["c7_combined"](spark, d).collect() for x in (r.source, r.target)}
     for name in ("g4_betweenness", "g5_louvain"):
         assert {r.node for r in entry.queries()[name](spark, d).collect()} == nodes
+
+
+def test_number_spans_have_no_index_cap():
+    text = "0812 3456 7890 0813 1111 2222 0857 3333 4444"
+    got = {text[s.start : s.end] for s in pii.candidates(text, {}) if s.kind == "phone"}
+    assert {"0812 3456 7890", "0813 1111 2222", "0857 3333 4444"} <= got
+    digits = " ".join("081234567890" * 2)
+    spans = {(s.start, s.end) for s in pii.candidates(digits, {}) if s.kind == "phone"}
+    assert {(0, 23), (24, 47)} <= spans
