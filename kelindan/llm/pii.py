@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -299,24 +299,50 @@ class Detector:
         return out
 
 
-def learnt_parts(texts: Sequence[str], parts: Mapping[str, str], least: int = 3, most_lower: float = 0.34) -> dict[str, str]:
-    """Name parts that the registry lacks: words that stand capitalised in labelled names at least ``least`` times and rarely in lower case."""
-    seen: dict[str, Counter] = {}
-    lower: Counter = Counter()
+def _part_counts(texts: Iterable[str], parts: Mapping[str, str]) -> dict[str, list[int]]:
+    """By lower-case word: uses as given and as family in labelled names, and uses in lower case."""
+    counts: dict[str, list[int]] = {}
     for t in texts:
         for s in _names(t, t.lower() if len(t.lower()) == len(t) else t, parts):
             if s.silver == 1 and t[s.start].isupper():
                 ws = t[s.start : s.end].split()
                 for k, w in enumerate(ws):
-                    seen.setdefault(w.lower(), Counter())["family" if k and k == len(ws) - 1 else "given"] += 1
-        lower.update(w for w in LOWER_WORD.findall(t) if w.islower())
-    return {w: c.most_common(1)[0][0] for w, c in seen.items() if w not in parts and w not in NOT_NAME and sum(c.values()) >= least and lower[w] <= most_lower * sum(c.values())}
+                    counts.setdefault(w.lower(), [0, 0, 0])[int(bool(k) and k == len(ws) - 1)] += 1
+        for w in LOWER_WORD.findall(t):
+            if w.islower():
+                counts.setdefault(w, [0, 0, 0])[2] += 1
+    return counts
+
+
+#: A word is learnt that stands at least so often in labelled names, and in lower case at most in this share of that.
+LEAST_NAMED, MOST_LOWER = 3, 0.34
+
+
+def learnt_parts(texts: Sequence[str], parts: Mapping[str, str], least: int = LEAST_NAMED, most_lower: float = MOST_LOWER) -> dict[str, str]:
+    """Name parts that the registry lacks: words that stand capitalised in labelled names at least ``least`` times and rarely in lower case."""
+    return {w: "family" if f > g else "given" for w, (g, f, low) in _part_counts(texts, parts).items() if w not in parts and w not in NOT_NAME and g + f >= least and low <= most_lower * (g + f)}
+
+
+def corpus_parts(df: DataFrame, column: str, parts: Mapping[str, str], max_parts: int = 100_000) -> dict[str, str]:
+    """``learnt_parts`` of all distinct texts of the table: counted in one pass, summed by word; the lexicon's size is checked before it is collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = _part_counts(b.column(0).to_pylist(), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(3)]], ["w", "g", "f", "low"])
+
+    texts = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("t")).distinct()
+    sums = texts.mapInArrow(run, "w string, g long, f long, low long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("g", "f", "low")])
+    rows = sums.where((F.col("g") + F.col("f") >= LEAST_NAMED) & (F.col("low") <= MOST_LOWER * (F.col("g") + F.col("f")))).limit(max_parts + 1).collect()
+    if len(rows) > max_parts:
+        raise ValueError(f"more than {max_parts} learnt name parts")
+    return {r.w: "family" if r.f > r.g else "given" for r in rows if r.w not in parts and r.w not in NOT_NAME}
 
 
-def train(texts: Sequence[str], parts: Mapping[str, str]) -> Detector:
-    """A detector from texts alone; deterministic, order of texts doesn't matter."""
+def train(texts: Sequence[str], parts: Mapping[str, str], learnt: Mapping[str, str] | None = None) -> Detector:
+    """A detector from texts alone; deterministic, order of texts doesn't matter. ``learnt``: parts counted elsewhere, else those of the texts."""
     once = sorted(set(texts))
-    parts = {**learnt_parts(once, parts), **parts}
+    parts = {**(learnt_parts(once, parts) if learnt is None else learnt), **parts}
     spans = [s for t in once for s in candidates(t, parts)]
     models: dict[str, Boosted | None] = {}
     thresholds: dict[str, float] = {}
@@ -346,13 +372,13 @@ def train(texts: Sequence[str], parts: Mapping[str, str]) -> Detector:
 
 
 def fit_detector(df: DataFrame, key: str, column: str, name_parts: DataFrame, sample_texts: int = SAMPLE_TEXTS, max_parts: int = 100_000) -> Detector:
-    """Train on at most ``sample_texts`` texts, those with the least hash of their key. ``name_parts`` (name_part, part_kind) is a registry of checked size."""
+    """Train on at most ``sample_texts`` texts, those with the least hash of their key; name parts are learnt from all. ``name_parts`` (name_part, part_kind) is a registry of checked size."""
     rows = name_parts.where("name_part is not null").limit(max_parts + 1).collect()
     if len(rows) > max_parts:
         raise ValueError(f"name_parts has more than {max_parts} rows")
     parts = {r.name_part.strip().lower(): r.part_kind for r in rows}
     sample = df.where(F.col(column).isNotNull()).select(F.col(column).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h")).orderBy("h", "t").limit(sample_texts)
-    return train([r.t for r in sample.select("t").collect()], parts)
+    return train([r.t for r in sample.select("t").collect()], parts, corpus_parts(df, column, parts, max_parts))
 
 
 def find_items(df: DataFrame, key: str, column: str, detector: Detector) -> DataFrame:

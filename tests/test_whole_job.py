@@ -95,3 +95,12 @@ def test_number_spans_have_no_index_cap():
     digits = " ".join("081234567890" * 2)
     spans = {(s.start, s.end) for s in pii.candidates(digits, {}) if s.kind == "phone"}
     assert {(0, 23), (24, 47)} <= spans
+
+
+def test_name_parts_are_learnt_from_all_texts(spark):
+    texts = [f"nama saya Tari {w} ya {i}" for w in ("Zorvalen", "Quistara") for i in range(4)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "pair_id string, comment_2 string")
+    parts = spark.createDataFrame([("Tari", "given")], "name_part string, part_kind string")
+    d = pii.fit_detector(df, "pair_id", "comment_2", parts, sample_texts=2)
+    assert d.parts["zorvalen"] == d.parts["quistara"] == "family"
+    assert pii.corpus_parts(df, "comment_2", {"tari": "given"}) == pii.learnt_parts(sorted(texts), {"tari": "given"})
