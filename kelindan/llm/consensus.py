@@ -92,7 +92,7 @@ def fit(votes: DataFrame, rounds: int = 60, tol: float = 1e-5, right: float = 4.
     """The model of ``votes`` and the items it was fitted on (staged rows of coded votes).
 
     Priors: ``wrong`` for each cell of a confusion row and ``right`` on its
-    diagonal, so labels keep their meaning. Rounds end when no count moves by more than ``tol`` of all votes.
+    diagonal, so labels keep their meaning. Rounds end when no count of an annotator moves by more than ``tol`` of that annotator's votes.
     An empty table gives the priors.
     """
     names = [r.annotator for r in votes.select("annotator").distinct().limit(max_annotators + 1).collect()]
@@ -133,10 +133,10 @@ def fit(votes: DataFrame, rounds: int = 60, tol: float = 1e-5, right: float = 4.
         np.add.at(confusion, (at.w.to_numpy(int), at.t.to_numpy(int), at.c.to_numpy(int)), at.n.to_numpy(float))
         top = rows[rows.w < 0]
         np.add.at(classes, top.t.to_numpy(int), top.n.to_numpy(float))
-        moved = np.abs(confusion - model.confusion).max() if names else 0.0
-        total = max(1.0, float(at.n.sum()))
+        moved = np.abs(confusion - model.confusion).max(axis=(1, 2))
+        own = np.maximum(1.0, (confusion - base).sum(axis=(1, 2)))
         model = Model(names, classes, confusion, n)
-        if moved <= tol * total:
+        if (moved <= tol * own).all():
             break
     return model, items
 

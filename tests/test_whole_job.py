@@ -10,7 +10,7 @@ import statistics
 import pytest
 
 import __spark_entry__ as entry
-from kelindan.llm import pii
+from kelindan.llm import consensus, pii
 from kelindan.operators import graph, textsim
 from kelindan.operators.components import connected_components
 
@@ -104,3 +104,12 @@ def test_name_parts_are_learnt_from_all_texts(spark):
     d = pii.fit_detector(df, "pair_id", "comment_2", parts, sample_texts=2)
     assert d.parts["zorvalen"] == d.parts["quistara"] == "family"
     assert pii.corpus_parts(df, "comment_2", {"tari": "given"}) == pii.learnt_parts(sorted(texts), {"tari": "given"})
+
+
+def test_consensus_rounds_do_not_stop_earlier_on_many_votes(spark):
+    rng = random.Random(6)
+    truth = {f"i{i}": rng.choice(consensus.CLASSES) for i in range(600)}
+    votes = [(i, f"a{k}", t if rng.random() < 0.7 else rng.choice(consensus.CLASSES)) for i, t in truth.items() for k in rng.sample(range(150), 3)]
+    model, _ = consensus.fit(spark.createDataFrame(votes, "item string, annotator string, label string"), tol=2e-3)
+    # each round moves a cell by far less than that share of all votes long before an annotator's own settle
+    assert model.rounds > 3
