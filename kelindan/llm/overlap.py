@@ -1,41 +1,36 @@
 """Records of evaluation splits that repeat training records (problem 4).
 
-A weighted cosine join between the splits. A text is a vector over its distinct
-words. The required result is stated on unweighted words (num/den of the joint words in
-common), so all words of a text weigh the same, 1/sqrt(n) after normalising; a pair at
-similarity J has a cosine of at least 2J/(1+J). Words are ordered from rare to
-common, and a vector is indexed only until what is left cannot reach the bound:
-
-- residual norm: s left-over words have norm sqrt(s/n), so they alone stay below the cosine bound while s < bound**2 * n;
-- maximum weight: a partner has at least J*n words, so no weight above 1/sqrt(J*n), and s words add at most s/(n*sqrt(J)).
-
-Whichever bound prunes more decides the prefix; its length is extended by one so that a
-pair that qualifies shares *two* indexed words. Inverted lists are kept for pairs of indexed
-words: they stay short where lists of single words grow with the corpus. Vectors of more than
-``PAIRED`` words would have too many pairs; they, and all that could match them, are
-indexed by single words as well. Candidates get their exact dot product.
-
-The order of words needs their frequency only for common ones: words that make up at least
-1/10,000 of all words are at most 10,000, whatever the corpus, and are sent to the tasks;
-all others count as rare.
+A weighted cosine join between the splits. A text is a vector over its distinct words; the squared weight of a
+word falls with its frequency, from 2 (``HEAVY``) to 1 (``LIGHT``), so the norm of a vector and the dot product of two are sums of whole
+sixteenths and exact. The required result is stated on unweighted words (num/den of the joint words in common). Because
+weights are clipped, that implies a least dot product for any two vectors (``least_dot``), and nothing is lost by joining on it:
+
+* residual norm: words are indexed from the heaviest to the lightest. What is left of a vector may supply all of a
+  partner's dot product but for the words indexed; it is cut off where its squared norm falls below what a partner needs, the
+  sum of the vector's lightest ``needed`` weights less those of the indexed words in common (``setindex``: as the lightest words come last, that is a number of words);
+* maximum weight: no word counts more than ``HEAVY`` nor less than ``LIGHT``, so the sizes, norms and word maps of two vectors in a
+  list bound their dot product from above; pairs below their least dot product leave within the join.
+
+Inverted lists are kept for pairs of indexed words of a group (``setindex``), which keeps them short where lists of single words
+grow with the corpus. Candidates get their exact dot product and cosine; the stated similarity decides.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelindan.llm.words import jaccard_at_least, kept_text, word_set
+from kelindan.llm import setindex as X
+from kelindan.llm.words import kept_text, word_set
 from kelindan.session import stage
 
-#: Vectors of up to this many words are indexed by pairs of words.
-PAIRED = 64
+#: Least and greatest squared weight of a word, in sixteenths.
+LIGHT, HEAVY = 16, 32
 TRAINING = "development_v2"
 EVALUATION = ("locked_test_v2", "locked_test_v2_replacement", "validation_v2", "challenge_v2")
 
@@ -55,100 +50,106 @@ def id_digits(value: Column) -> Column:
     return F.nullif(digits, F.lit(""))
 
 
-def indexed_words(n: int, num: int, den: int, shared: int) -> int:
-    """How many of a vector's n words, from the rarest, must be indexed so that a partner shares ``shared`` of them."""
-    j = num / den
-    bound = 2 * j / (1 + j)
-    least = max(bound * bound * n, bound * math.sqrt(j) * n)  # words in common with any partner, by either bound
-    return min(n, max(0, n - math.ceil(least - 1e-9)) + shared)
+def weights(order: X.Order, hashes: np.ndarray) -> np.ndarray:
+    """Squared weights of words in sixteenths, from ``LIGHT`` for the commonest word to ``HEAVY`` for all that aren't common: an inverse document frequency, clipped."""
+    if not len(order.counts):
+        return np.full(len(hashes), HEAVY, dtype=np.int64)
+    top, low = math.log(order.counts.max()), math.log(max(2, X.LEAST_SHARE * order.total))
+    level = LIGHT + (HEAVY - LIGHT) * (top - np.log(order.counts)) / max(top - low, 1e-9)
+    return order.lookup(hashes, np.clip(np.rint(level), LIGHT, HEAVY).astype(np.int64), HEAVY)
 
 
-def index_keys(words: list[str], rank: dict[str, int], num: int, den: int, paired: int = PAIRED) -> list[int]:
-    """64-bit keys of a vector's inverted lists."""
-    n = len(words)
-    order = sorted(words, key=lambda w: (rank.get(w, -1), w))
-    keys = []
-    if n <= paired:
-        first = order[: indexed_words(n, num, den, 2)]
-        if len(order) == 1 or len(first) < 2:
-            keys.append(xxhash.xxh64_intdigest(order[0], 1))
-        keys += [xxhash.xxh64_intdigest(f"{a}\x00{b}", 2) for a, b in combinations(first, 2)]
-    if n > paired * num / den:
-        keys += [xxhash.xxh64_intdigest(w, 3) for w in order[: indexed_words(n, num, den, 1)]]
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+def least_dot(na: Column, wa: Column, nb: Column, wb: Column, num: int, den: int) -> Column:
+    """The least dot product (before normalising) of two vectors whose words are similar.
 
-
-def _common_words(sets: DataFrame, least_share: float = 1e-4) -> dict[str, int]:
-    """Rank of the words that make up at least ``least_share`` of all words (at most 1/least_share of them)."""
-    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = sets.agg(F.sum(F.size("words").cast("bigint")).alias("t")).first().t or 0
-    rows = counts.where(F.col("n") >= max(1, math.ceil(least_share * total))).collect()
-    return {r.word: i for i, r in enumerate(sorted(rows, key=lambda r: (r.n, r.word)))}
+    At least s words are shared; those that aren't take at most ``HEAVY`` each from either squared norm.
+    """
+    s = F.ceil((na + nb) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
+    return F.greatest(s * LIGHT, wa - (na - s) * HEAVY, wb - (nb - s) * HEAVY)
 
 
 def text_links(sets: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
-    """``(a, b)``: training and evaluation word sets with num/den of their joint words in common.
+    """``(a, b, cosine)``: training and evaluation word sets with num/den of their joint words in common, and their weighted cosine.
 
-    ``sets`` has ``(rid, words, in_training, in_evaluation)`` with one row per
-    word set. A set that occurs on both sides is linked to itself.
+    ``sets`` has ``(rid, h, in_training, in_evaluation)`` with one row per word set. A set that
+    occurs on both sides is linked to itself.
     """
-    rank = _common_words(sets)
+    order = X.word_order(sets)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid, tr, ev = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for i, words in enumerate(b.column(1).to_pylist()):
-                for k in index_keys(words, rank, num, den):
-                    for column, v in zip(out, (k, rid[i], len(words), tr[i], ev[i]), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)], ["pk", "rid", "n", "tr", "ev"])
-
-    posted = sets.select("rid", "words", "in_training", "in_evaluation").mapInArrow(post, "pk long, rid long, n int, tr boolean, ev boolean")
-    posted = stage(posted, "ov-lists")
-    left = posted.where("tr").select("pk", F.col("rid").alias("a"), F.col("n").alias("na"))
-    right = posted.where("ev").select("pk", F.col("rid").alias("b"), F.col("n").alias("nb"))
-    near = left.join(right, "pk").where(f"a <> b and na * {den} >= nb * {num} and nb * {den} >= na * {num}")
-    candidates = near.select("a", "b").distinct()
-    wa, wb = sets.select(F.col("rid").alias("a"), F.col("words").alias("wa")), sets.select(F.col("rid").alias("b"), F.col("words").alias("wb"))
-    exact = candidates.join(wa, "a").join(wb, "b").where(jaccard_at_least(F.col("wa"), F.col("wb"), num, den)).select("a", "b")
-    same = sets.where("in_training and in_evaluation").select(F.col("rid").alias("a"), F.col("rid").alias("b"))
+            if not b.num_rows:
+                continue
+            flat, starts = X.flat_sets(b.column(1))
+            owner, keys, _, _ = X.index_keys(flat, starts, order, num, den)
+            rid, maps = b.column(0).to_numpy(zero_copy_only=False), X.bitmaps(flat, starts).view(np.int64)
+            norms, sizes = np.add.reduceat(weights(order, flat), starts), np.diff(np.append(starts, len(flat)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((keys.view(np.int64), pa.int64()), (rid[owner], pa.int64()), (sizes[owner], pa.int32()), (norms[owner], pa.int32()), (maps[owner], pa.int64()))], ["pk", "rid", "n", "w", "bm"])
+
+    def side(which: str, x: str) -> DataFrame:
+        lists = sets.where(which).select("rid", "h").mapInArrow(post, "pk long, rid long, n int, w int, bm long")
+        return lists.select("pk", *[F.col(c).alias(f"{c}_{x}") for c in ("rid", "n", "w", "bm")])
+
+    na, nb, wa, wb, ma, mb = (F.col(c) for c in ("n_a", "n_b", "w_a", "w_b", "bm_a", "bm_b"))
+    # what is left of either squared norm without the words that the other map rules out, at their least weight
+    most = F.least(wa - LIGHT * F.bit_count(ma.bitwiseAND(F.bitwise_not(mb))), wb - LIGHT * F.bit_count(mb.bitwiseAND(F.bitwise_not(ma))))
+    maybe = X.may_be_similar_column(na, nb, ma, mb, num, den) & (most >= least_dot(na, wa, nb, wb, num, den))
+    near = side("in_training", "a").join(side("in_evaluation", "b"), "pk").where((F.col("rid_a") != F.col("rid_b")) & maybe)
+    candidates = near.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, cosines = [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                shared = np.array(sorted(set(x) & set(y)), dtype=np.int64).view(np.uint64)
+                u, v = np.array(x, dtype=np.int64).view(np.uint64), np.array(y, dtype=np.int64).view(np.uint64)
+                dot, norms = int(weights(order, shared).sum()), (int(weights(order, u).sum()), int(weights(order, v).sum()))
+                keep.append(len(shared) * (num + den) >= num * (len(x) + len(y)))
+                cosines.append(dot / math.sqrt(norms[0] * norms[1]))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (b.column(0), b.column(1), pa.array(cosines, pa.float64()))], ["a", "b", "cosine"])
+
+    ha, hb = sets.select(F.col("rid").alias("a"), F.col("h").alias("ha")), sets.select(F.col("rid").alias("b"), F.col("h").alias("hb"))
+    exact = candidates.join(ha, "a").join(hb, "b").select("a", "b", "ha", "hb").mapInArrow(products, "a long, b long, cosine double")
+    same = sets.where("in_training and in_evaluation").select(F.col("rid").alias("a"), F.col("rid").alias("b"), F.lit(1.0).alias("cosine"))
     return exact.unionByName(same)
 
 
 def split_overlaps(df: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
-    """``(training_id, evaluation_id, by_id, by_text)``: record pairs across the splits that carry one comment id or nearly one text.
+    """``(training_id, evaluation_id, by_id, by_text, cosine)``: record pairs across the splits that carry one comment id or nearly one text.
 
     ``df`` has record_id, comment_id, sample_role, comment_text_original; other
     columns are ignored. Roles outside the two sides, null ids and removed
-    texts match nothing; texts without words match only verbatim copies. Copies of a text meet once,
+    texts match nothing; texts without words match only verbatim copies. The cosine is null for pairs by id alone. Copies of a text meet once,
     as word sets, and are expanded at the end, for the result names every pair.
     """
+    if 2 * num <= den:
+        raise ValueError("the similarity must be above a half")
     role = role_name(F.col("sample_role"))
-    words = word_set("text")
+    hashed = F.array_sort(F.transform(word_set("text"), lambda w: F.xxhash64(w)))
     given = df.select("record_id", id_digits(F.col("comment_id")).alias("cid"), role.alias("role"), kept_text(F.col("comment_text_original")).alias("text"))
-    given = given.where(F.col("role").isin(TRAINING, *EVALUATION)).withColumns({"training": F.col("role") == TRAINING, "words": words})
-    rid = F.when(F.size("words") > 0, F.xxhash64("words")).when(F.col("text").isNotNull(), F.xxhash64(F.lit("verbatim"), "text"))
-    rows = stage(given.select("record_id", "cid", "training", "words", rid.alias("rid")), "ov-rows")
-
-    sets = rows.where("rid is not null").groupBy("rid").agg(F.first("words").alias("words"), F.max("training").alias("in_training"), F.max(~F.col("training")).alias("in_evaluation"))
-    sets = stage(sets, "ov-sets")
-    worded = text_links(sets.where(F.size("words") > 0), num, den)
-    mute = sets.where("size(words) = 0 and in_training and in_evaluation").select(F.col("rid").alias("a"), F.col("rid").alias("b"))
+    given = given.where(F.col("role").isin(TRAINING, *EVALUATION)).withColumns({"training": F.col("role") == TRAINING, "h": hashed})
+    rid = F.when(F.size("h") > 0, F.xxhash64("h")).when(F.col("text").isNotNull(), F.xxhash64(F.lit("verbatim"), "text"))
+    rows = stage(given.select("record_id", "cid", "training", "h", rid.alias("rid")), "ov-rows")
+
+    sides = rows.where("rid is not null").groupBy("rid").agg(F.max("training").alias("in_training"), F.max(~F.col("training")).alias("in_evaluation"), F.first("h").alias("h"))
+    sets = stage(sides, "ov-sets")
+    worded = text_links(sets.where(F.size("h") > 0), num, den)
+    mute = sets.where("size(h) = 0 and in_training and in_evaluation").select(F.col("rid").alias("a"), F.col("rid").alias("b"), F.lit(1.0).alias("cosine"))
     links = worded.unionByName(mute)
 
     train, test = rows.where("training"), rows.where("not training")
     by_text = (
         links.join(train.select(F.col("rid").alias("a"), F.col("record_id").alias("training_id")), "a")
         .join(test.select(F.col("rid").alias("b"), F.col("record_id").alias("evaluation_id")), "b")
-        .select("training_id", "evaluation_id", F.lit(False).alias("by_id"), F.lit(True).alias("by_text"))
+        .select("training_id", "evaluation_id", F.lit(False).alias("by_id"), F.lit(True).alias("by_text"), "cosine")
     )
     by_id = (
         train.where("cid is not null").select("cid", F.col("record_id").alias("training_id"))
         .join(test.select("cid", F.col("record_id").alias("evaluation_id")), "cid")
-        .select("training_id", "evaluation_id", F.lit(True).alias("by_id"), F.lit(False).alias("by_text"))
+        .select("training_id", "evaluation_id", F.lit(True).alias("by_id"), F.lit(False).alias("by_text"), F.lit(None).cast("double").alias("cosine"))
     )
-    return by_text.unionByName(by_id).groupBy("training_id", "evaluation_id").agg(F.max("by_id").alias("by_id"), F.max("by_text").alias("by_text"))
+    return by_text.unionByName(by_id).groupBy("training_id", "evaluation_id").agg(F.max("by_id").alias("by_id"), F.max("by_text").alias("by_text"), F.max("cosine").alias("cosine"))
 
 
 def overlap_report(df: DataFrame, overlaps: DataFrame) -> DataFrame:

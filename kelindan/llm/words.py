@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Texts that stand for nothing, compared trimmed and in lower case.
+# Texts that stand for nothing, compared trimmed and in lower case.
 REMOVED = ("", "[deleted]", "[removed]", "nan", "none", "null", "<na>", "-")
 
 
@@ -17,9 +17,3 @@ def word_set(text: Column) -> Column:
 def kept_text(text: Column) -> Column:
     """The text, or null if it is empty or only says that it was removed."""
     return F.when(~F.lower(F.trim(text)).isin(*REMOVED), text)
-
-
-def jaccard_at_least(a: Column, b: Column, num: int, den: int) -> Column:
-    """Whether two word sets share at least ``num/den`` of their joint words, in whole numbers."""
-    shared = F.size(F.array_intersect(a, b))
-    return shared * (num + den) >= num * (F.size(a) + F.size(b))
