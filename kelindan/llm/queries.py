@@ -10,17 +10,33 @@ from kelindan.plans.registry import Registry, table
 R = Registry()
 
 
+def _looking(spark, d):
+    """The two fields of problem 1 and the one table of rewrites for both."""
+    fields = [
+        (table(spark, d, "video_metadata_clean"), "video_url", "caption", "video_metadata_clean"),
+        (table(spark, d, "hcc_copypasta_candidates"), "candidate_id", "normalized_comment", "hcc_copypasta_candidates"),
+    ]
+    return fields, canon.corpus_table(*[(df, column) for df, _, column, _ in fields])
+
+
 @R.query("p1_found")
 def p1_found(spark, d):
-    videos = canon.same_looking_pairs(table(spark, d, "video_metadata_clean"), "video_url", "caption", "video_metadata_clean")
-    copies = canon.same_looking_pairs(table(spark, d, "hcc_copypasta_candidates"), "candidate_id", "normalized_comment", "hcc_copypasta_candidates")
+    fields, rewrites = _looking(spark, d)
+    videos, copies = (canon.same_looking_pairs(*field, rewrites) for field in fields)
+    return videos.unionByName(copies)
+
+
+@R.query("p1_classes")
+def p1_classes(spark, d):
+    fields, rewrites = _looking(spark, d)
+    videos, copies = (canon.same_looking_classes(*field, rewrites) for field in fields)
     return videos.unionByName(copies)
 
 
 @R.query("p1_canonical")
 def p1_canonical(spark, d):
-    videos = canon.with_canonical(table(spark, d, "video_metadata_clean").selectExpr("'video_metadata_clean' as src_table", "video_url as row_key", "caption as text"), "text")
-    copies = canon.with_canonical(table(spark, d, "hcc_copypasta_candidates").selectExpr("'hcc_copypasta_candidates' as src_table", "candidate_id as row_key", "normalized_comment as text"), "text")
+    fields, rewrites = _looking(spark, d)
+    videos, copies = (canon.with_canonical(df.select(F.lit(src).alias("src_table"), F.col(key).alias("row_key"), F.col(column).alias("text")), "text", table=rewrites) for df, key, column, src in fields)
     return videos.unionByName(copies).select("src_table", "row_key", "canonical").distinct()
 
 
