@@ -118,6 +118,11 @@ def p10_found(spark, d):
     return truncation.truncated(table(spark, d, "documents")).select("doc_id")
 
 
+@R.query("p10_cuts")
+def p10_cuts(spark, d):
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id", "detector", "cut_by")
+
+
 @R.query("p10_report")
 def p10_report(spark, d):
     docs = table(spark, d, "documents")

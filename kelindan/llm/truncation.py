@@ -1,15 +1,18 @@
 """Texts that were cut by a field limit or in transfer (problem 10).
 
-Limits are found per source from the histograms of lengths, in characters, in UTF-8
+Two detectors, each named in the result:
+
+*histogram* (``field_limits``): limits are found per source from the histograms of lengths, in characters, in UTF-8
 bytes and in characters before a continuation marker. Distinct texts are counted, so
-copies make no spike. A limit shows as a *spike* at the greatest length (hard
-cut), or as a *pile* in the last ``PILE`` characters (cut back to a whole word). A text
+copies make no spike. A limit shows as a *spike* at the greatest length (hard cut), as a *pile* in the last ``PILE`` characters
+(cut back to a whole word), or as a spike at a smaller length that stands out from the lengths on both sides and whose texts
+are nearly all unfinished (a second kind of record, or a limit that was changed). A source may have any number of limits. A text
 at a limit is cut unless it ends like a finished text (terminal punctuation, emoji, link, tag).
 
-Cuts in transfer happen at any length. They are told by how a text ends, against
+*ending* (``ending_reason``): cuts in transfer happen at any length. They are told by how a text ends, against
 statistics of the whole corpus: an ending that is a proper prefix of far more frequent
 words (inside a word); a word, or a word before the last, after which sentences and texts
-hardly ever end (inside a sentence); an opened bracket, an unfinished link,
+hardly ever end (inside a sentence); a marker that says that more follows; an opened bracket, an unfinished link,
 character reference, amount or emoji.
 
 All statistics are sums that are combined in each task before the shuffle. The
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelindan.session import stage
@@ -33,6 +36,8 @@ from kelindan.session import stage
 PILE = 16
 #: A spike or pile has at least so many distinct texts, and so many times what lies below it.
 LEAST, TIMES = 5, 4.0
+#: A spike below the greatest length has at least so many distinct texts, and at least this share of them is unfinished.
+LEAST_INNER, UNFINISHED = 8, 0.8
 #: A word ends sentences in at least this share of its uses, or texts in the second share (and at least twice) - else a text that ends on it is cut.
 SENTENCE_SHARE, TEXT_SHARE = 0.03, 0.005
 #: A word is followed by a sentence's last word in at least this share of its uses, else the text goes on.
@@ -54,6 +59,16 @@ STATS = "kind string, w string, n long, e long, f long"
 SHAPE = "doc_id long, source string, h long, n_chars int, n_bytes int, n_base int, tail string, last string, prev string"
 
 
+def _last_words(x: str) -> list[str]:
+    """The last two words of a text, whole, however long they are."""
+    size = 100
+    while True:
+        size *= 2
+        found = list(_TOKEN.finditer(x[-size:]))[-2:]
+        if size >= len(x) or (len(found) == 2 and found[0].start() > 0):
+            return [m[1] for m in found]
+
+
 def tail_of(text: str) -> tuple[str, str | None, str | None]:
     """How a text ends: ``(kind, last word, word before it)``.
 
@@ -65,7 +80,7 @@ def tail_of(text: str) -> tuple[str, str | None, str | None]:
         return "blank", None, None
     end = x[-1]
     if link := _LINK.search(x):
-        bare = re.sub(r"[.,!?…~;)\]\"']+$", "", link[0])
+        bare = link[0].rstrip(".,!?…~;)]\"'")
         whole = re.match(r"(?:https?://|www\.)([\w-]+\.)+[\w-]+(/\S*)?$", bare)
         return ("link" if whole else "broken"), f"link:{'/' if bare.endswith('/') or bare != link[0] else ''}", None
     if re.search(r"&#?\w{1,8};$", x):
@@ -80,10 +95,10 @@ def tail_of(text: str) -> tuple[str, str | None, str | None]:
         return ("number" if _FULL_AMOUNT.match(amount[1]) else "broken"), None, None
     if not end.isalnum():
         return "mark", None, None
-    token = re.search(r"\S+$", x)[0]
+    token = x.rsplit(None, 1)[-1]
     if token[0] in "@#":
         return "tag", token[1:].lower(), None
-    found = [w for w, _ in _TOKEN.findall(x[-200:])]
+    found = _last_words(x)
     if not found or end.isdigit() or not end.isalpha():
         return "number", None, None
     if token == found[-1] and token[0].islower() and re.search(r"[.!?…。！？][\"'”’»)]*\s+$", x[: -len(token)]):
@@ -158,45 +173,61 @@ def shapes(docs: DataFrame) -> DataFrame:
 
 
 def field_limits(shaped: DataFrame) -> DataFrame:
-    """``(source, unit, low, high)``: lengths at which a source cuts, by histogram.
+    """``(source, unit, low, high, spike)``: all lengths at which a source cuts, by histogram.
 
     Units: n_chars, n_bytes and n_base (characters before a continuation marker,
-    of texts that end in one). A spike has ``TIMES`` the mean of the 40 lengths below it and at
-    most a tenth of its size above; a pile fills the last ``PILE`` lengths in the same way.
+    of texts that end in one). A spike has ``TIMES`` the mean of the 40 lengths below it, and either at
+    most a tenth of its size above it, or ``TIMES`` the mean of the 40 lengths above it too and nearly only unfinished
+    texts. A pile fills the last ``PILE`` lengths in the same way as a greatest spike. A spike in bytes that is one in characters,
+    seen in texts of one-byte characters, isn't reported again. Texts of any length take part.
     """
     marked = F.when(F.col("n_base") < F.col("n_chars"), F.col("n_base"))
-    once = shaped.where("n_chars >= 40").select("source", "h", "n_chars", "n_bytes", marked.alias("n_base")).distinct()
-    long = once.unpivot(["source"], ["n_chars", "n_bytes", "n_base"], "unit", "len").where("len is not null")
-    hist = long.groupBy("source", "unit", "len").agg(F.count(F.lit(1)).alias("c"))
-    by = Window.partitionBy("source", "unit").orderBy("len")
+    open_end = F.col("tail").isin("word", "number", "broken", "said", "ellipsis").cast("int")
+    once = shaped.where("tail <> 'blank'").select("source", "h", "n_chars", "n_bytes", marked.alias("n_base"), open_end.alias("open")).distinct()
+    long = once.unpivot(["source", "open"], ["n_chars", "n_bytes", "n_base"], "unit", "len").where("len is not null")
+    hist = long.groupBy("source", "unit", "len").agg(F.count(F.lit(1)).alias("c"), F.sum("open").alias("open"))
+    whole = Window.partitionBy("source", "unit")
+    by = whole.orderBy("len")
+    mean = lambda lo, hi: F.coalesce(F.sum("c").over(by.rangeBetween(lo, hi)), F.lit(0)) / 37
     around = hist.withColumns(
         {
-            "above": F.coalesce(F.sum("c").over(by.rangeBetween(1, Window.unboundedFollowing)), F.lit(0)),
-            "below": F.coalesce(F.sum("c").over(by.rangeBetween(-40, -4)), F.lit(0)) / 37,
-            "near": F.sum("c").over(by.rangeBetween(-3, 0)),
+            # a running sum and the total: a frame up to the end would be summed anew for each length
+            "above": F.sum("c").over(whole) - F.sum("c").over(by.rangeBetween(Window.unboundedPreceding, 0)),
+            "below": mean(-40, -4), "after": mean(4, 40),
             "pile": F.sum("c").over(by.rangeBetween(-PILE + 1, 0)),
             "before": F.coalesce(F.sum("c").over(by.rangeBetween(-11 * PILE + 1, -PILE)), F.lit(0)) / 10,
         }
-    )
-    spike = (F.col("c") >= LEAST) & (F.col("c") >= TIMES * (1 + F.col("below"))) & (F.col("above") * 10 <= F.col("c"))
+    )
+    steep = (F.col("c") >= LEAST) & (F.col("c") >= TIMES * (1 + F.col("below")))
+    inner = (F.col("c") >= LEAST_INNER) & (F.col("c") >= TIMES * (1 + F.col("after"))) & (F.col("open") >= UNFINISHED * F.col("c"))
+    spike = steep & ((F.col("above") * 10 <= F.col("c")) | inner)
     cliff = (F.col("pile") >= 8) & (F.col("pile") >= TIMES * F.greatest(F.col("before"), F.lit(1.0))) & (F.col("above") * 20 <= F.col("pile"))
     pile = (F.col("unit") == "n_chars") & cliff
     low = F.when(spike, F.when(F.col("unit") == "n_bytes", F.col("len") - 3).otherwise(F.col("len"))).when(pile, F.col("len") - PILE + 1)
     found = around.where(spike | pile).select("source", "unit", low.alias("low"), F.col("len").alias("high"), spike.alias("spike"), "c")
-    # of several piles or spikes in one unit the strongest spike, else the highest pile, is the limit
-    first = Window.partitionBy("source", "unit").orderBy(F.desc("spike"), F.desc(F.when(F.col("spike"), F.col("c"))), F.desc("high"))
-    kept = found.withColumn("r", F.row_number().over(first)).where("r = 1")
-    # a byte spike beside a stronger character spike of the same source is that spike seen in ASCII texts
-    best = Window.partitionBy("source").orderBy(F.desc("spike"), F.desc("c"), F.desc(F.col("unit") == "n_chars"))
-    plain = kept.where("unit <> 'n_base'").withColumn("r", F.row_number().over(best)).where("r = 1")
-    return plain.unionByName(kept.where("unit = 'n_base'")).select("source", "unit", "low", "high", "spike")
+    # the ends of one pile are one limit, and a spike within it makes it one: of overlapping limits of a unit the strongest is kept
+    rest = found.withColumns({"top": F.max(F.struct("spike", "c", "high")).over(Window.partitionBy("source", "unit").orderBy("high").rangeBetween(-PILE, PILE))})
+    kept = rest.where(F.col("top") == F.struct("spike", "c", "high")).drop("top")
+    chars = kept.where("unit = 'n_chars'").select("source", F.col("high").alias("_at"), F.col("c").alias("_c"))
+    echo = kept.where("unit = 'n_bytes'").join(chars, "source").where("high between _at and _at + 3 and c <= _c").select("source", "unit", "high").distinct()
+    return kept.join(echo, ["source", "unit", "high"], "left_anti").select("source", "unit", "low", "high", "spike")
+
+
+def limit_reason(at_limit: Column, at_marker: Column, known_tag: Column, broken: Column) -> Column:
+    """limit or marker for a text that lies at a limit of its source and isn't finished, else null."""
+    return F.when((F.col("tail") == "ellipsis") & at_marker, "marker").when(at_limit & (broken | (F.col("tail").isin("word", "number", "tag") & ~known_tag)), "limit")
+
+
+def ending_reason(inside_word: Column, inside_sentence: Column, broken: Column) -> Column:
+    """said, broken, word or sentence for a text whose ending says that it goes on, wherever it was cut, else null."""
+    return F.when(F.col("tail") == "said", "said").when(broken, "broken").when(inside_word, "word").when(inside_sentence, "sentence")
 
 
 def truncated(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, n_chars, cut_by)`` for documents whose text ends before its writer's end.
+    """``(doc_id, source, n_chars, detector, cut_by)`` for documents whose text ends before its writer's end.
 
-    ``docs`` has doc_id, source and text; other columns are ignored. cut_by is limit,
-    marker, word (inside a word), sentence (inside a sentence) or broken. Null
+    ``docs`` has doc_id, source and text; other columns are ignored. detector is histogram (cut_by: limit, marker) or, for
+    texts at no limit, ending (cut_by: said, word (inside a word), sentence (inside a sentence), broken). Null
     and blank texts are not cut. Documents of a null source form one source.
     """
     kept = stage(docs.select("doc_id", "source", "text").where("text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").transform(shapes), "tr-shapes")
@@ -217,13 +248,12 @@ def truncated(docs: DataFrame) -> DataFrame:
     spread = lambda c: F.coalesce(c, F.concat(F.lit("\x00"), F.pmod(F.col("h"), F.lit(9973)).cast("string")))
     keyed = kept.withColumns({"last": spread(F.col("last")), "prev": spread(F.col("prev"))})
     joined = keyed.join(known, "last", "left").join(lead, "prev", "left").crossJoin(F.broadcast(slash))
-    flat = limits.groupBy("source").agg(
-        *[F.max(F.when(F.col("unit") == u, F.col(c))).alias(f"{u}_{c}") for u in ("n_chars", "n_bytes", "n_base") for c in ("low", "high")]
-    )
-    joined = joined.join(flat, "source", "left")
+    # one row a source: its limits, of which it has a few
+    units = {u: F.collect_list(F.when(F.col("unit") == u, F.struct("low", "high"))).alias(f"_{u}") for u in ("n_chars", "n_bytes", "n_base")}
+    joined = joined.join(limits.groupBy("source").agg(*units.values()), "source", "left")
 
-    def at(unit):
-        return F.coalesce(F.col(unit).between(F.col(f"{unit}_low"), F.col(f"{unit}_high")), F.lit(False))
+    def at(unit: str) -> Column:
+        return F.coalesce(F.exists(f"_{unit}", lambda x: F.col(unit).between(x["low"], x["high"])), F.lit(False))
 
     n0, f0 = F.coalesce("n0", F.lit(0)) - F.coalesce("f0", F.lit(0)), F.coalesce("f0", F.lit(0))
     inside_word = F.col("tail").isin("word", "tag") & (F.coalesce("longer", F.lit(0)) > PREFIX_TIMES * (n0 + 1))
@@ -234,22 +264,17 @@ def truncated(docs: DataFrame) -> DataFrame:
     known_tag = (F.col("tail") == "tag") & (F.coalesce("n0", F.lit(0)) >= 3) & ~inside_word
     open_link = (F.col("tail") == "link") & (F.col("last") == "link:") & (F.col("slash") >= 0.9)
     broken = (F.col("tail") == "broken") | open_link
-    at_limit = at("n_chars") | at("n_bytes")
-    why = (
-        F.when(F.col("tail") == "blank", None)
-        .when(F.col("tail") == "said", "marker")
-        .when((F.col("tail") == "ellipsis") & at("n_base"), "marker")
-        .when(at_limit & (broken | (F.col("tail").isin("word", "number", "tag") & ~known_tag)), "limit")
-        .when(broken, "broken")
-        .when(inside_word, "word")
-        .when(inside_sentence, "sentence")
-    )
-    return joined.select("doc_id", "source", "n_chars", why.alias("cut_by")).where("cut_by is not null")
+    judged = joined.where("tail <> 'blank'").select(
+        "doc_id", "source", "n_chars",
+        limit_reason(at("n_chars") | at("n_bytes"), at("n_base"), known_tag, broken).alias("_limit"), ending_reason(inside_word, inside_sentence, broken).alias("_ending"),
+    )
+    detector = F.when(F.col("_limit").isNotNull(), "histogram").when(F.col("_ending").isNotNull(), "ending")
+    return judged.select("doc_id", "source", "n_chars", detector.alias("detector"), F.coalesce("_limit", "_ending").alias("cut_by")).where("detector is not null")
 
 
 def truncation_report(docs: DataFrame, cut: DataFrame) -> DataFrame:
     """``(source, n_docs, n_cut, share_cut, n_limit, n_transfer)`` per source, also where nothing is cut."""
     every = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
-    some = cut.groupBy("source").agg(F.count(F.lit(1)).alias("n_cut"), F.count_if(F.col("cut_by").isin("limit", "marker")).alias("n_limit"))
+    some = cut.groupBy("source").agg(F.count(F.lit(1)).alias("n_cut"), F.count_if(F.col("detector") == "histogram").alias("n_limit"))
     joined = every.join(some, "source", "left").na.fill(0, ["n_cut", "n_limit"])
     return joined.select("source", "n_docs", "n_cut", (F.col("n_cut") / F.col("n_docs")).alias("share_cut"), "n_limit", (F.col("n_cut") - F.col("n_limit")).alias("n_transfer"))

@@ -63,6 +63,37 @@ def test_finds_limit_and_transfer_cuts(spark):
     assert report["limited"].n_limit > 0 and report["free"].n_limit == 0 and report["free"].n_docs == 2000
 
 
+def _limited(limits, each=300, seed=3):
+    """Texts of one source, each kind cut at another limit or whole."""
+    rng = random.Random(seed)
+    nouns = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(80)]
+    data, cut = [], {}
+    for limit in [*limits, 0]:
+        for _ in range(each):
+            text = " ".join(f"{rng.choice(nouns)} {rng.choice(nouns)} karena {rng.choice(nouns)}.".capitalize() for _ in range(rng.randrange(1, 12) if not limit else 2 + limit // 12))
+            if limit:
+                text = text[:limit]
+                if text.rstrip()[-1] != ".":
+                    cut[len(data)] = limit
+            data.append((len(data), "s", text))
+    return data, cut
+
+
+@pytest.mark.parametrize("limits", [(120, 200), (20,), (32, 90, 300)])
+def test_every_limit_of_a_source_is_kept(spark, limits):
+    data, cut = _limited(limits)
+    df = spark.createDataFrame(data, SCHEMA)
+    found = {r.high for r in truncation.field_limits(truncation.shapes(df)).where("unit = 'n_chars' and spike").collect()}
+    assert found == set(limits)
+    got = {r.doc_id for r in truncation.truncated(df).where("detector = 'histogram'").collect()}
+    assert set(cut) <= got and len(got - set(cut)) <= 3
+
+
+def test_a_long_last_word_is_compared_whole():
+    assert truncation.tail_of("awal " + "a" * 500 + " " + "b" * 900)[1:] == ("b" * 900, "a" * 500)
+    assert truncation.tail_of("x" * 300_000 + " kata")[1:] == ("kata", "x" * 300_000)
+
+
 def test_copies_make_no_spike(spark):
     data = [(i, "s", f"Kalimat ke {i} " + "yang lengkap " * (3 + i % 20) + "ini") for i in range(60)] + [(100 + i, "s", "Satu kalimat yang sama dan cukup panjang untuk dihitung di sini saja ya " * 6) for i in range(30)]
     assert truncation.field_limits(truncation.shapes(spark.createDataFrame(data, SCHEMA))).where("spike").count() == 0
