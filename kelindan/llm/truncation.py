@@ -178,12 +178,14 @@ def field_limits(shaped: DataFrame) -> DataFrame:
     Units: n_chars, n_bytes and n_base (characters before a continuation marker,
     of texts that end in one). A spike has ``TIMES`` the mean of the 40 lengths below it, and either at
     most a tenth of its size above it, or ``TIMES`` the mean of the 40 lengths above it too and nearly only unfinished
-    texts. A pile fills the last ``PILE`` lengths in the same way as a greatest spike. A spike in bytes that is one in characters,
-    seen in texts of one-byte characters, isn't reported again. Texts of any length take part.
+    texts. A spike has at least half of the texts of the last ``PILE`` lengths, else these may be a pile, which has ``TIMES`` the texts
+    before it and at most a twentieth of its size above it. Texts that end in a marker count in n_base only. One limit isn't reported in
+    bytes and in characters. Texts of any length take part.
     """
     marked = F.when(F.col("n_base") < F.col("n_chars"), F.col("n_base"))
     open_end = F.col("tail").isin("word", "number", "broken", "said", "ellipsis").cast("int")
-    once = shaped.where("tail <> 'blank'").select("source", "h", "n_chars", "n_bytes", marked.alias("n_base"), open_end.alias("open")).distinct()
+    bare = lambda c: F.when(F.col("n_base") >= F.col("n_chars"), F.col(c)).alias(c)
+    once = shaped.where("tail <> 'blank'").select("source", "h", bare("n_chars"), bare("n_bytes"), marked.alias("n_base"), open_end.alias("open")).distinct()
     long = once.unpivot(["source", "open"], ["n_chars", "n_bytes", "n_base"], "unit", "len").where("len is not null")
     hist = long.groupBy("source", "unit", "len").agg(F.count(F.lit(1)).alias("c"), F.sum("open").alias("open"))
     whole = Window.partitionBy("source", "unit")
@@ -198,19 +200,23 @@ def field_limits(shaped: DataFrame) -> DataFrame:
             "before": F.coalesce(F.sum("c").over(by.rangeBetween(-11 * PILE + 1, -PILE)), F.lit(0)) / 10,
         }
     )
-    steep = (F.col("c") >= LEAST) & (F.col("c") >= TIMES * (1 + F.col("below")))
+    steep = (F.col("c") >= LEAST) & (F.col("c") >= TIMES * (1 + F.col("below"))) & (F.col("c") * 2 >= F.col("pile"))
     inner = (F.col("c") >= LEAST_INNER) & (F.col("c") >= TIMES * (1 + F.col("after"))) & (F.col("open") >= UNFINISHED * F.col("c"))
     spike = steep & ((F.col("above") * 10 <= F.col("c")) | inner)
     cliff = (F.col("pile") >= 8) & (F.col("pile") >= TIMES * F.greatest(F.col("before"), F.lit(1.0))) & (F.col("above") * 20 <= F.col("pile"))
     pile = (F.col("unit") == "n_chars") & cliff
     low = F.when(spike, F.when(F.col("unit") == "n_bytes", F.col("len") - 3).otherwise(F.col("len"))).when(pile, F.col("len") - PILE + 1)
-    found = around.where(spike | pile).select("source", "unit", low.alias("low"), F.col("len").alias("high"), spike.alias("spike"), "c")
-    # the ends of one pile are one limit, and a spike within it makes it one: of overlapping limits of a unit the strongest is kept
-    rest = found.withColumns({"top": F.max(F.struct("spike", "c", "high")).over(Window.partitionBy("source", "unit").orderBy("high").rangeBetween(-PILE, PILE))})
+    strength = F.when(spike, F.col("c")).otherwise(F.col("pile"))
+    found = around.where(spike | pile).select("source", "unit", low.alias("low"), F.col("len").alias("high"), spike.alias("spike"), strength.alias("c"))
+    # the lengths of one pile are one limit: of limits of a unit that overlap, the strongest spike, else the greatest pile is kept
+    rest = found.withColumn("top", F.max(F.struct("spike", "c", "high")).over(whole.orderBy("high").rangeBetween(-PILE, PILE)))
     kept = rest.where(F.col("top") == F.struct("spike", "c", "high")).drop("top")
-    chars = kept.where("unit = 'n_chars'").select("source", F.col("high").alias("_at"), F.col("c").alias("_c"))
-    echo = kept.where("unit = 'n_bytes'").join(chars, "source").where("high between _at and _at + 3 and c <= _c").select("source", "unit", "high").distinct()
-    return kept.join(echo, ["source", "unit", "high"], "left_anti").select("source", "unit", "low", "high", "spike")
+    # one limit may show in both units, by texts of one-byte characters: a spike in bytes beside a stronger one in characters, and a pile in characters at a spike in bytes, are dropped
+    chars, bytes_ = (kept.where(F.col("unit") == u).select("source", F.col("high").alias(f"_{u}"), F.col("c").alias(f"_c{u}"), F.col("spike").alias(f"_s{u}")) for u in ("n_chars", "n_bytes"))
+    both = chars.join(bytes_, "source").where(f"_n_bytes between _n_chars and _n_chars + {PILE}")
+    weak_bytes = both.where("_sn_chars and _cn_bytes <= _cn_chars and _n_bytes <= _n_chars + 3").select("source", F.lit("n_bytes").alias("unit"), F.col("_n_bytes").alias("high"))
+    weak_chars = both.where("not _sn_chars").select("source", F.lit("n_chars").alias("unit"), F.col("_n_chars").alias("high"))
+    return kept.join(weak_bytes.unionByName(weak_chars), ["source", "unit", "high"], "left_anti").select("source", "unit", "low", "high", "spike")
 
 
 def limit_reason(at_limit: Column, at_marker: Column, known_tag: Column, broken: Column) -> Column:
