@@ -88,12 +88,12 @@ def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lists.to_numpy()).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
 
-def fit(votes: DataFrame, rounds: int = 60, tol: float = 1e-5, right: float = 4.0, wrong: float = 1.0, max_annotators: int = 200_000) -> tuple[Model, DataFrame]:
+def fit(votes: DataFrame, rounds: int = 500, tol: float = 1e-5, right: float = 4.0, wrong: float = 1.0, max_annotators: int = 200_000) -> tuple[Model, DataFrame]:
     """The model of ``votes`` and the items it was fitted on (staged rows of coded votes).
 
     Priors: ``wrong`` for each cell of a confusion row and ``right`` on its
     diagonal, so labels keep their meaning. Rounds end when no count of an annotator moves by more than ``tol`` of that annotator's votes.
-    An empty table gives the priors.
+    An empty table gives the priors. A model that still moves after ``rounds`` raises an error; some 15 are usual.
     """
     names = [r.annotator for r in votes.select("annotator").distinct().limit(max_annotators + 1).collect()]
     if len(names) > max_annotators:
@@ -137,8 +137,8 @@ def fit(votes: DataFrame, rounds: int = 60, tol: float = 1e-5, right: float = 4.
         own = np.maximum(1.0, (confusion - base).sum(axis=(1, 2)))
         model = Model(names, classes, confusion, n)
         if (moved <= tol * own).all():
-            break
-    return model, items
+            return model, items
+    raise RuntimeError(f"the annotators' counts still move after {rounds} rounds")
 
 
 def consensus(model: Model, items: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 #: Where the vocabularies lie, unless the caller says otherwise.
 TOKENIZER_DIR = os.environ.get("KELINDAN_TOKENIZERS", "/opt/tokenizers")
@@ -92,3 +92,15 @@ def encode_column(df: DataFrame, column: str, path: str, keep: Sequence[str] = (
     schema = StructType([*kept, StructField(out, IntegerType() if counts_only else ArrayType(IntegerType()))])
     return df.select(*keep, F.col(column).alias("_text")).mapInArrow(run, schema)
 
+
+def round_trip(df: DataFrame, column: str, path: str, key: str = "doc_id") -> DataFrame:
+    """``(key, same)``: whether the raw bytes of a text's ids are the text's; null and empty texts have no ids and no bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            same = [decode_ids(encode_text(t, enc), enc) == (t or "").encode("utf-8", "replace") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.bool_())], [key, "same"])
+
+    schema = StructType([df.schema[key], StructField("same", BooleanType())])
+    return df.select(key, F.col(column).cast("string").alias("_text")).mapInArrow(run, schema)

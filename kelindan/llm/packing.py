@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from kelindan.session import stage
 
 
+#: Rank buckets that are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 20_000
+
+
 @dataclass(frozen=True)
 class Placement:
     """Items of ``size`` with ranks ``lo`` .. ``hi - 1``: ``each`` to a container from ``first`` on, at places from ``place`` on."""
@@ -159,8 +163,13 @@ def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     No container holds more than ``capacity``; an item is split only if it alone
     exceeds it. Items of size 0 take no room: they share container 0. Repeated keys are separate items. An empty table
     gives an empty result. To the driver goes the histogram (at most ``capacity`` rows) and the sizes of
-    rank buckets (one per ``bucket_rows`` items and size).
+    rank buckets (one per ``bucket_rows`` items and size), which are broadcast only while they are few.
     """
+    return pack_with(sized, key, size, capacity, bucket_rows)[0]
+
+
+def pack_with(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, bucket_rows: int = 500_000) -> tuple[DataFrame, Packer]:
+    """``pack``, and the packer with its counts: containers in all and those fixed by dominance."""
     spark = sized.sparkSession
     items = stage(split_items(sized, key, size, capacity), "pk-items")
     hist = {int(r.n): int(r.c) for r in items.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -178,16 +187,19 @@ def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     for r in sorted(sizes, key=lambda r: (r.n, r._k)):
         offsets.append((r.n, r._k, start.get(r.n, 0)))
         start[r.n] = start.get(r.n, 0) + r.c
-    known = F.broadcast(spark.createDataFrame(offsets, "n bigint, _k bigint, _o bigint"))
+    known = spark.createDataFrame(offsets, "n bigint, _k bigint, _o bigint")
+    if len(offsets) <= MOST_BROADCAST:
+        known = F.broadcast(known)
     order = Window.partitionBy("n", "_k").orderBy(key, "part_no")
     ranks = ranked.withColumn("_r", F.row_number().over(order) - 1).join(known, ["n", "_k"]).withColumn("_r", F.col("_r") + F.col("_o"))
     table = F.broadcast(spark.createDataFrame(placed, "n bigint, _lo bigint, _hi bigint, _first bigint, _each bigint, _place bigint"))
     at = F.col("_r") - F.col("_lo")
-    return ranks.join(table, "n").where("_r >= _lo and _r < _hi").select(
+    packed = ranks.join(table, "n").where("_r >= _lo and _r < _hi").select(
         key, "part_no", "start_at", "n",
         (F.col("_first") + F.floor(at / F.col("_each"))).cast("bigint").alias("container_id"),
         (F.col("_place") + F.pmod(at, F.col("_each")) + 1).cast("bigint").alias("place_no"),
     )
+    return packed, packer
 
 
 def packing_summary(packed: DataFrame, capacity: int = 2048) -> DataFrame:

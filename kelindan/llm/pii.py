@@ -9,8 +9,8 @@ and do not overlap.
 Training needs no hand-made labels. In a bounded sample of texts (``SAMPLE_TEXTS``, by hash of
 the key), spans with a telling cue or an unmistakable format are labelled; half of the
 training copies have their context features hidden, so the trees learn to judge a format without
-its cue. Calibration and thresholds come from margins of models that haven't seen the span (``FOLDS``); the final model is fitted on all. Where a
-sample has fewer than ``LEAST_LABELS`` labels of either kind for a type, the labelling rules themselves decide.
+its cue. Calibration and thresholds come from margins of models that haven't seen the span (``FOLDS``); the final model is fitted on all.
+A few prior examples (``prior_texts``) are part of every training, so that each type has labels of both kinds however small the sample.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from kelindan.llm.boosting import Boosted, fit
 
 #: Bound of the training sample, in texts.
 SAMPLE_TEXTS = 12_000
-LEAST_LABELS = 25
 #: Folds whose held-out margins calibrate the probabilities and choose the thresholds.
 FOLDS = 3
 TYPES = ("email", "phone", "identity_number", "address", "person_name")
@@ -59,9 +58,9 @@ RUN = re.compile(r"\((?:\+?62|[0oO]\d{1,4})\)[ .-]?\d+(?:[ .\-/]\d+)*|\+?(?<![^\
 GROUP = re.compile(r"[oO]?\d+")
 STREET = re.compile(rf"(?<![\w@#])(?:{STREETS})\b\.?", re.I)
 ADDRESS = re.compile(
-    rf"(?:{STREETS})\b\.?(?:\s+(?!no\b|blok\b|rt\b)[A-Za-z][\w']*){{0,4}}(?:\s*,?\s*(?:(?:no|blok)\b\.?\s*)?[A-Za-z]?-?\d+[A-Za-z]?)?(?:\s*,?\s*rt\.?\s*\d+(?:\s*/\s*rw\.?\s*\d+)?)?(?:,\s+(?!(?:toko|brand|bpom|npwp)\b)(?-i:[A-Z][a-z]+))?", re.I,
+    rf"(?:{STREETS})\b\.?(?:\s+(?!no\b|blok\b|rt\b)(?-i:[A-Z])[\w']*+)*(?:\s+(?!no\b|blok\b|rt\b)[A-Za-z][\w']*){{0,4}}(?:\s*,?\s*(?:(?:no|blok)\b\.?\s*)?[A-Za-z]?-?\d+[A-Za-z]?)?(?:\s*,?\s*rt\.?\s*\d+(?:\s*/\s*rw\.?\s*\d+)?)?(?:,\s+(?!(?:toko|brand|bpom|npwp)\b)(?-i:[A-Z][a-z]+))?", re.I,
 )
-CAPITALS = re.compile(r"(?<![\w@#.])(?:[A-Z][a-z']+(?:[ ]+[A-Z][a-z']+){1,5}|[A-Z]{2,}(?:[ ]+[A-Z]{2,}){1,5})(?!\w)")
+CAPITALS = re.compile(r"(?<![\w@#.])(?:[A-Z][a-z']+(?:[ ]+[A-Z][a-z']+)+|[A-Z]{2,}(?:[ ]+[A-Z]{2,})+)(?!\w)")
 LOWER_WORD = re.compile(r"[^\W\d_]+")
 _AFTER_CUE = re.compile(r"(?<![\w@#])(?:an\.|a\.n\.|atas nama|nama saya|namaku|penerima:?|salam buat|aja dari|titip ke)\s+(?:(?:" + "|".join(TITLES) + r")\.?\s+)?", re.I)
 
@@ -97,26 +96,20 @@ def _side(c: str) -> float:
 
 
 def _digit_runs(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Groups of digits that may form one number; a group of nine digits or more stands alone."""
+    """Groups of digits that may form one number."""
     for run in RUN.finditer(text):
-        part: list[tuple[int, int]] = []
-        for m in GROUP.finditer(run[0]):
-            a, b = m.start() + run.start(), m.end() + run.start()
-            if b - a >= 9:
-                if part:
-                    yield part
-                yield [(a, b)]
-                part = []
-            else:
-                part.append((a, b))
-        if part:
-            yield part
+        yield [(m.start() + run.start(), m.end() + run.start()) for m in GROUP.finditer(run[0])]
 
 
 def _numbers(text: str, low: str) -> Iterator[Span]:
     for groups in _digit_runs(text):
         if sum(b - a for a, b in groups) < 8:
             continue
+        # a group of nine digits or more is likely a number of its own: what stands beside it is beside another number
+        large = [b - a >= 9 for a, b in groups]
+        parts = [0]
+        for k in range(1, len(groups)):
+            parts.append(parts[-1] + (large[k] or large[k - 1]))
         ahead = low[max(0, groups[0][0] - 26) : groups[0][0]].rstrip("(+ ")
         # every span of 8 to 22 digits: at most 22 groups from each start
         pairs = []
@@ -139,16 +132,20 @@ def _numbers(text: str, low: str) -> Iterator[Span]:
             if plus or paren:
                 left = text[a - 2 : a - 1] if a > 1 else ""
             start = digits.lower().replace("o", "0")
+            across = parts[i] != parts[j]
+            before_in, after_in = i > 0 and (across or parts[i - 1] == parts[i]), j < len(groups) - 1 and (across or parts[j + 1] == parts[j])
             shape = (
                 len(digits), len(sizes), sizes[0], sizes[-1], max(sizes), sep, float(start[:1]), float(start[:2]), float(digits[0] in "oO"),
-                float(plus), float(paren), _side(left), _side(right), float(i > 0), float(j < len(groups) - 1),
+                float(plus), float(paren), _side(left), _side(right), float(before_in), float(after_in),
             )
             before = low[max(0, a - 26) : a].rstrip("(+ ")
             context = (_cue(before, "phone"), _cue(before, "identity"), _cue(before, "other_number"))
-            whole = i == 0 and j == len(groups) - 1
+            whole = not before_in and not after_in
             for kind, own, other in (("phone", 0, 1), ("identity_number", 1, 0)):
                 silver = None
-                if context[2] == 3 or shape[11] in (1, 2, 3) or shape[12] in (1, 2):
+                if across:  # two numbers, or one with its country code: unlabelled, the trees decide
+                    pass
+                elif context[2] == 3 or shape[11] in (1, 2, 3) or shape[12] in (1, 2):
                     silver = 0
                 elif not whole and max(_cue(ahead, "phone"), _cue(ahead, "identity")) == 3:
                     silver = 0
@@ -270,9 +267,9 @@ def _matrix(spans: Sequence[Span], hide: np.ndarray | None = None) -> np.ndarray
 
 @dataclass
 class Detector:
-    """A fitted model per type (None: the labelling rules decide) and the thresholds on calibrated probabilities."""
+    """A fitted model per type and the thresholds on calibrated probabilities."""
 
-    models: dict[str, Boosted | None]
+    models: dict[str, Boosted]
     thresholds: dict[str, float]
     parts: dict[str, str]
 
@@ -284,10 +281,9 @@ class Detector:
             flat = [(i, s) for i, spans in enumerate(found) for s in spans if s.kind == kind]
             if not flat:
                 continue
-            model = self.models.get(kind)
-            p = model.probability(_matrix([s for _, s in flat])) if model else np.array([float(s.silver == 1) for _, s in flat])
+            p = self.models[kind].probability(_matrix([s for _, s in flat]))
             for (i, s), q in zip(flat, p, strict=True):
-                if q >= self.thresholds.get(kind, 0.5):
+                if q >= self.thresholds[kind]:
                     keep[i].append((float(q), s))
         out = []
         for spans in keep:
@@ -339,19 +335,32 @@ def corpus_parts(df: DataFrame, column: str, parts: Mapping[str, str], max_parts
     return {r.w: "family" if r.f > r.g else "given" for r in rows if r.w not in parts and r.w not in NOT_NAME}
 
 
+def prior_texts() -> list[str]:
+    """Examples of both kinds for every type, made by rule: eight or more labelled spans of each."""
+    out = []
+    for i in range(12):
+        n = 10_000_000 + 7_654_321 * (i + 1)
+        one, two = ("Sari", "Budi", "Rina", "Tono")[i % 4], ("Wiratama", "Kusuma", "Lestari")[i % 3]
+        out += [f"hubungi 08{n % 10**8:08d}{i % 7} ya", f"wa: 08{i % 10}{n % 9}-{n % 10**4:04d}-{(n // 7) % 10**4:04d}", f"resi {n}{i}", f"order {n % 10**9}99"]
+        out += [f"nik {n % 10**8:08d}{(n // 3) % 10**8:08d}", f"ktp {n % 10**4:04d} {n % 9973:04d} {n % 9931:04d} {n % 9907:04d}", f"video 74{n % 10**8:08d}{n % 10**8:08d}"]
+        out += [f"email {one.lower()}{i}@surat{i}.example ya", f"surel: {one.lower()}.{two.lower()}@kotak.example", f"manis @toko{i}.example"]
+        out += [f"alamat Jl. Melati No. {i + 1}, kirim ya", f"di Gang Mawar {i + 2} RT {i + 1}", f"jalan terus saja dulu {'lagi ' * (i % 3)}ya", f"jalan pelan banget hari ke sekian {i}"]
+        out += [f"nama saya {one} {two} ya", f"an. {one} {two}", f"varian {one} {two} wangi", f"brand {one} {two}"]
+    return out
+
+
 def train(texts: Sequence[str], parts: Mapping[str, str], learnt: Mapping[str, str] | None = None) -> Detector:
     """A detector from texts alone; deterministic, order of texts doesn't matter. ``learnt``: parts counted elsewhere, else those of the texts."""
     once = sorted(set(texts))
     parts = {**(learnt_parts(once, parts) if learnt is None else learnt), **parts}
-    spans = [s for t in once for s in candidates(t, parts)]
-    models: dict[str, Boosted | None] = {}
+    spans = [s for t in sorted({*once, *prior_texts()}) for s in candidates(t, parts)]
+    models: dict[str, Boosted] = {}
     thresholds: dict[str, float] = {}
     for kind in TYPES:
         own = [s for s in spans if s.kind == kind and s.silver is not None]
         y = np.array([s.silver for s in own])
-        models[kind], thresholds[kind] = None, 0.5
-        if len(y) == 0 or min(y.sum(), len(y) - y.sum()) < LEAST_LABELS:
-            continue
+        if not 0 < y.sum() < len(y):
+            raise ValueError(f"no labels of both kinds for {kind}")
         draw = np.array([zlib.crc32(f"{s.start},{s.end},{s.shape},{s.context},{i}".encode()) for i, s in enumerate(own)])
         fold, hide = draw % FOLDS, (draw // FOLDS) % 2 == 0
         # each span twice: as it is and, for half of them, with its context hidden

@@ -75,6 +75,11 @@ def p8_ids(spark, d):
     return encode.encode_column(table(spark, d, "documents"), "text", encode.rank_path("byte_bpe_50k"))
 
 
+@R.query("p8_round_trip", "SELECT doc_id, true AS same FROM documents")
+def p8_round_trip(spark, d):
+    return encode.round_trip(table(spark, d, "documents"), "text", encode.rank_path("byte_bpe_50k"))
+
+
 def _votes(spark, d):
     return consensus.latest_votes(table(spark, d, "annotations"), "comment_id", "annotator_id", "sentiment_label", "annotated_at", "annotation_id")
 
@@ -144,16 +149,16 @@ def p7_redacted(spark, d):
     return pii.redact(given, "comment_2", _detector(spark, d)).select("pair_id", "redacted")
 
 
-def _packed(spark, d):
-    sized = encode.encode_column(table(spark, d, "documents"), "text", encode.rank_path("byte_bpe_50k"), counts_only=True)
-    return packing.pack(sized)
+def _sized(spark, d):
+    return encode.encode_column(table(spark, d, "documents"), "text", encode.rank_path("byte_bpe_50k"), counts_only=True)
 
 
 @R.query("p9_packing")
 def p9_packing(spark, d):
-    return _packed(spark, d)
+    return packing.pack(_sized(spark, d))
 
 
 @R.query("p9_summary")
 def p9_summary(spark, d):
-    return packing.packing_summary(_packed(spark, d))
+    packed, packer = packing.pack_with(_sized(spark, d))
+    return packing.packing_summary(packed).withColumn("n_fixed", F.lit(packer.fixed).cast("bigint"))

@@ -47,6 +47,21 @@ def test_held_out_agreement_with_formats(detector):
     assert abs(got - want) <= max(2, 0.05 * want)
 
 
+def _proposed(text, kind):
+    return {text[s.start : s.end] for s in pii.candidates(text, {"sari": "given"}) if s.kind == kind}
+
+
+def test_no_cap_on_candidates():
+    """Numbers in the middle of long runs and beside large groups, long names and long streets are proposed whole."""
+    run = "wa 11 22 33 0812 3456 7890 44 55 66 77"
+    assert "0812 3456 7890" in _proposed(run, "phone")
+    assert {"62 81234567890", "81234567890"} <= _proposed("wa +62 81234567890", "phone")
+    name = "Sari Budi Rina Tono Wira Putri Lestari Kusuma Dewi"
+    assert name in _proposed(f"nama saya {name} ya", "person_name")
+    street = "Jl. Raya Taman Bunga Melati Putih Timur Dalam Indah No. 12"
+    assert street in _proposed(f"alamat {street} ya", "address")
+
+
 def test_spans_do_not_overlap_and_positions_are_code_points(detector):
     text = "😭é hubungi 0842-1234-5678, email x@y.example"
     spans = detector.score([text, None])[0]
@@ -61,9 +76,11 @@ def test_frames(spark, detector, rows):
     assert pii.find_items(df.limit(0), "pair_id", "comment_2", detector).count() == 0
 
 
-def test_without_labels_the_rules_decide(spark):
+def test_prior_examples_are_enough_for_a_model(spark):
+    """Without any text the same models are fitted, on the prior examples alone."""
     d = pii.train([], {})
-    assert [s.kind for s in d.score(["wa 084212345678 ya"])[0]] == ["phone"]
+    assert set(d.models) == set(pii.TYPES)
+    assert [s.kind for s in d.score(["wa 084212345678 ya"])[0]] == ["phone"] and d.score(["resi 8421234567"]) == [[]]
     parts = spark.createDataFrame([(None, "given")], "name_part string, part_kind string")
     empty = spark.createDataFrame([], "pair_id string, comment_2 string")
     assert pii.fit_detector(empty, "pair_id", "comment_2", parts).parts == {}
