@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelindan.functions.normalize import account, utc_time
+from kelindan.operators.quantiles import exact_quantile
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -13,6 +14,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row per key, the last in ``order`` (P9); nulls in the order come before all values."""
+    return keep_first(df, keys, [c.desc_nulls_last() for c in order])
+
+
 def prepare_comments(df: DataFrame) -> DataFrame:
     """Comments once per id (first crawl), with account names normalised and time in UTC.
 
@@ -79,11 +85,24 @@ def co_reply(comments: DataFrame, least: int = 2) -> DataFrame:
     return both.withColumn("passes", F.col("co_reply_weight") >= least)
 
 
+def time_gaps(comments: DataFrame, bucket_minutes: int = 1440) -> DataFrame:
+    """``(g)``: microseconds between consecutive comments of each video.
+
+    Gaps within a bucket of time come from its sorted rows, gaps between buckets from their first and last time; so no task
+    sorts all comments of a hot video, but one bucket's, and then one row a bucket.
+    """
+    width = bucket_minutes * 60_000_000
+    given = comments.where("ts is not null and video is not null").select("video", F.unix_micros("ts").alias("t")).withColumn("b", F.floor(F.col("t") / width))
+    inside = given.select((F.col("t") - F.lag("t").over(Window.partitionBy("video", "b").orderBy("t"))).alias("g"))
+    ends = given.groupBy("video", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    between = ends.select((F.col("lo") - F.lag("hi").over(Window.partitionBy("video").orderBy("b"))).alias("g"))
+    return inside.unionByName(between).where("g is not null")
+
+
 def calibrated_window(comments: DataFrame) -> DataFrame:
     """One row ``window_minutes``: the median gap between consecutive comments of a video, rounded half to even, at least 1."""
-    by = Window.partitionBy("video").orderBy("ts")
-    gaps = comments.where("ts is not null and video is not null").select((F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(by)).alias("g")).where("g is not null")
-    return gaps.agg(F.coalesce(F.greatest(F.lit(1), F.bround(F.percentile("g", 0.5) / 60e6)), F.lit(1)).cast("bigint").alias("window_minutes"))
+    gap = exact_quantile(time_gaps(comments), "g", 0.5)
+    return comments.sparkSession.createDataFrame([(max(1, round((gap or 0) / 60e6)),)], "window_minutes bigint")
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], t_left: str, t_right: str, width: int) -> DataFrame:
@@ -143,9 +162,9 @@ def combine(conv: DataFrame, reply: DataFrame, temporal: DataFrame) -> DataFrame
 
 
 def above_percentile(edges: DataFrame, weight: str = "final_weight", share: float = 0.5) -> DataFrame:
-    """Edges whose weight reaches the exact percentile of all weights."""
-    cut = edges.agg(F.percentile(weight, share).alias("_cut"))
-    return edges.crossJoin(F.broadcast(cut)).where(F.col(weight) >= F.col("_cut")).drop("_cut")  # one row
+    """Edges whose weight reaches the exact percentile of all weights (C9); none of no edges."""
+    cut = exact_quantile(edges, weight, share)
+    return edges.where(F.col(weight) >= F.lit(cut if cut is not None else 0.0) - 1e-12)
 
 
 def co_tags(pairs: DataFrame, tags: DataFrame) -> DataFrame:

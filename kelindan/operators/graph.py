@@ -8,7 +8,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelindan.functions.normalize import pseudonym
@@ -76,8 +76,27 @@ def aggregate_graph(edges: DataFrame, kinds: DataFrame, default: str, weight: st
 
 
 def structural_hash(edges: DataFrame, *columns: str) -> DataFrame:
-    """One row ``(n, hash)`` that doesn't depend on row order or partitioning (G12): a sum of row hashes."""
-    return edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).alias("hash"))
+    """One row ``(n, hash)`` that doesn't depend on row order or partitioning (G12): a sum of row digests (60 bits of MD5)."""
+    digest = F.conv(F.left(F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns])), F.lit(15)), 16, 10).cast("decimal(38,0)")
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)").alias("hash"))
+
+
+def pair_flags(a: Column, b: Column) -> dict[str, Column]:
+    """Whether one, both or neither of two conditions holds (P11); a null counts as not holding."""
+    x, y = F.coalesce(a, F.lit(False)), F.coalesce(b, F.lit(False))
+    return {"exactly_one": x != y, "both": x & y, "neither": ~x & ~y}
+
+
+def visual_maps(graph: DataFrame, weight: str = "weight") -> DataFrame:
+    """A drawn graph's columns: log weight, opacity 0.2 .. 1 in proportion to the greatest weight, and dense rank by weight.
+
+    The ranks are those of the distinct weights of a graph small enough to draw; each is joined back by its weight.
+    """
+    top = graph.agg(F.max(weight).alias("_top"))
+    ranks = graph.select(F.col(weight).alias("_w")).distinct()
+    ranks = ranks.withColumn("visual_rank", F.dense_rank().over(Window.orderBy(F.desc("_w"))))  # one row per weight of a graph to draw
+    out = graph.crossJoin(F.broadcast(top)).join(ranks, F.col(weight) == F.col("_w"))  # one row
+    return out.withColumns({"visual_weight": F.round(F.log1p(weight), 9), "opacity": F.round(0.2 + 0.8 * F.try_divide(F.col(weight), F.col("_top")), 9)}).drop("_top", "_w")
 
 
 def clean_edges(edges: DataFrame, nodes: DataFrame, artefacts: DataFrame) -> DataFrame:

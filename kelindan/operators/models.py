@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelindan.operators.metrics import confusion, summary
 from kelindan.operators.sampling import group_folds
 from kelindan.operators.textsim import grams_of
 
@@ -34,7 +35,7 @@ def with_grams(df: DataFrame, text: str = "text", chars: Sequence[int] = (3, 4,
 
 
 def classifier(kind: str = "logistic", iterations: int = 30):
-    """A linear head: logistic (optionally class-weighted by column ``weight``) or svm (one against the rest)."""
+    """A linear head: logistic (class-weighted by column ``weight``) or svm (one against the rest; see ``probabilities`` for its calibration)."""
     if kind == "svm":
         return OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01))
     return LogisticRegression(maxIter=iterations, regParam=0.01, weightCol="weight")
@@ -54,18 +55,32 @@ def fit(df: DataFrame, kind: str = "logistic", iterations: int = 30) -> Pipeline
 
 
 def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with ``p``, the array of class probabilities of a logistic head."""
+    """``df`` with ``p``, the array of class probabilities; those of an svm head are the softmax of its margins."""
     out = model.transform(with_grams(df.withColumn("text", F.coalesce("text", F.lit("")))))
-    return out.withColumn("p", vector_to_array("probability")).select(*df.columns, "p")
+    if "probability" in out.columns:
+        return out.withColumn("p", vector_to_array("probability")).select(*df.columns, "p")
+    margins = out.withColumn("_m", vector_to_array("rawPrediction"))
+    e = F.transform("_m", lambda x: F.exp(x - F.array_max("_m")))
+    return margins.withColumn("_e", e).withColumn("p", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))).select(*df.columns, "p")
 
 
-def out_of_fold(df: DataFrame, key: str, group: str, folds: int = 3, repeats: int = 1, iterations: int = 20) -> DataFrame:
+def save(model: PipelineModel, path: str) -> None:
+    """Write a fitted pipeline, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    """A fitted pipeline as it was saved."""
+    return PipelineModel.load(path)
+
+
+def out_of_fold(df: DataFrame, key: str, group: str, folds: int = 3, repeats: int = 1, iterations: int = 20, kind: str = "logistic") -> DataFrame:
     """``(key, label, p)``: mean probabilities of models that haven't seen the row's group."""
     parts = None
     for seed in range(repeats):
         held = group_folds(df, group, folds, seed)
         for k in range(folds):
-            model = fit(held.where(F.col("fold") != k).drop("fold"), iterations=iterations)
+            model = fit(held.where(F.col("fold") != k).drop("fold"), kind, iterations)
             one = probabilities(model, held.where(F.col("fold") == k).drop("fold"))
             parts = one if parts is None else parts.unionByName(one)
     exploded = parts.select(key, "label", F.posexplode("p").alias("i", "v")).groupBy(key, "label", "i").agg(F.avg("v").alias("v"))
@@ -81,3 +96,26 @@ def ensemble(members: Sequence[DataFrame], key: str) -> DataFrame:
     mean = rows.groupBy(key, "i").agg(F.avg("v").alias("v"))
     return mean.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a")).select(key, F.col("a.v").alias("p"))
 
+
+def top_two(found: dict[str, DataFrame], key: str, labels: Sequence[str], gain: float = 0.002) -> DataFrame:
+    """``(model, macro_f1, chosen)`` of each model's out-of-fold predictions ``(key, label, p)`` and of the mean of the two best.
+
+    The mean is chosen only if it gains at least ``gain`` on the best single model; ties go to the first name.
+    """
+    names = F.array(*[F.lit(x) for x in labels])
+
+    def score(p: DataFrame) -> float:
+        pred = names[F.array_position("p", F.array_max("p")).cast("int") - 1]
+        cells = confusion(p.select(names[F.col("label").cast("int")].alias("t"), pred.alias("q")), "t", "q")
+        return float(summary(cells, labels).first().macro_f1 or 0.0)
+
+    scores = {n: score(p) for n, p in found.items()}
+    best = sorted(scores, key=lambda n: (-scores[n], n))
+    out = dict(scores)
+    if len(best) > 1:
+        mean = ensemble([found[n] for n in best[:2]], key).join(found[best[0]].select(key, "label"), key)
+        out["+".join(sorted(best[:2]))] = score(mean)
+    both = [n for n in out if n not in scores]
+    chosen = both[0] if both and out[both[0]] >= scores[best[0]] + gain else best[0]
+    spark = found[best[0]].sparkSession
+    return spark.createDataFrame([(n, round(f, 9), n == chosen) for n, f in out.items()], "model string, macro_f1 double, chosen boolean")

@@ -25,7 +25,8 @@ def key_text(value: Column) -> Column:
 
 
 def row_order(at: Column, tie: Column) -> Column:
-    """One decimal that sorts rows by time, then by ``tie`` (0 <= tie < 10**15); null times come first."""
+    """One decimal that sorts rows by time, then by ``tie`` (0 <= tie < 10**15, else the job fails); null times come first."""
+    tie = F.when(tie.between(0, TIE_BASE - 1) | tie.isNull(), tie).otherwise(F.raise_error(F.lit("a tie lies outside 0 .. 10**15 - 1")).cast("bigint"))
     micros = F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(-(10**17))).cast("decimal(20,0)")
     return (micros * F.lit(TIE_BASE).cast("decimal(16,0)") + F.coalesce(tie, F.lit(0)).cast("decimal(16,0)")).cast("decimal(38,0)")
 

@@ -223,3 +223,15 @@ def common_values(df: DataFrame, key: str, value: str, k: int = 4) -> DataFrame:
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), value))).where(F.col("r") <= k)
     return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", F.col(value).alias("v")))).alias("a")).select(key, F.array_join(F.col("a.v"), " || ").alias("common"))
 
+
+def bounded_lists(df: DataFrame, key: str, value: str, k: int = 12) -> DataFrame:
+    """``(key, values)``: the first k distinct values per key joined by ``;``, the number of others as ``;...(+n)``.
+
+    Only k values of a key leave a task; the others are counted.
+    """
+    once = df.where(F.col(value).isNotNull() & (F.col(value) != "")).select(key, value).distinct()
+    totals = once.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    top = once.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(value))).where(F.col("_r") <= k)
+    lists = top.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("_a"))
+    more = F.when(F.col("_n") > k, F.concat(F.lit(";...(+"), (F.col("_n") - k).cast("string"), F.lit(")"))).otherwise("")
+    return lists.join(totals, key).select(key, F.concat(F.array_join("_a", ";"), more).alias("values"))

@@ -10,8 +10,8 @@ from kelindan.plans.registry import Registry, table
 
 R = Registry()
 
-_SPLIT_SQL = r"""
-WITH f AS (
+#: items(src_field, row_key, pos, item): the values of all packed fields, as common table expressions
+SPLIT_CTES = r"""f AS (
   SELECT DISTINCT 'hashtags' AS src_field, video_url AS row_key, hashtags AS v FROM video_metadata_clean
   UNION SELECT DISTINCT 'mentions', video_url, mentions FROM video_metadata_clean
   UNION SELECT DISTINCT 'users', candidate_id, users FROM hcc_copypasta_candidates),
@@ -23,13 +23,12 @@ t AS (SELECT src_field, row_key, regexp_extract_all(regexp_replace(v, '[\s\pZ]+(
         '"(?:[^"]|"")*"|''[^'']*''|[#@][^;,|\t\n\r、；，#@]*|[^;,|\t\n\r、；，#@''"\s\pZ][^;,|\t\n\r、；，]*') AS a FROM c),
 i AS (SELECT src_field, row_key, list_filter(list_transform(a, lambda x:
         regexp_replace(CASE WHEN x LIKE '"%"' THEN replace(x[2:-2], '""', '"') WHEN x LIKE '''%''' THEN x[2:-2] ELSE x END,
-          '^[\s\pZ#@]+|[\s\pZ]+$', '', 'g')), lambda x: x <> '') AS a FROM t)
-SELECT DISTINCT src_field, row_key, pos::BIGINT AS pos, item
-FROM (SELECT src_field, row_key, unnest(a) AS item, generate_subscripts(a, 1) AS pos FROM i)
+          '^[\s\pZ#@]+|[\s\pZ]+$', '', 'g')), lambda x: x <> '') AS a FROM t),
+items AS (SELECT DISTINCT src_field, row_key, pos::BIGINT AS pos, item FROM (SELECT src_field, row_key, unnest(a) AS item, generate_subscripts(a, 1) AS pos FROM i))
 """
 
 
-@R.query("p3_found", _SPLIT_SQL)
+@R.query("p3_found", "WITH " + SPLIT_CTES + " SELECT src_field, row_key, pos, item FROM items")
 def p3_found(spark, d):
     videos = explode_packed(table(spark, d, "video_metadata_clean"), {"hashtags": "hashtags", "mentions": "mentions"}, "video_url")
     users = explode_packed(table(spark, d, "hcc_copypasta_candidates"), {"users": "users"}, "candidate_id")
@@ -51,7 +50,8 @@ def p5_found(spark, d):
     return tags.select(F.lit("hashtag").alias("src_field"), "key_text").unionByName(makers.select(F.lit("creator").alias("src_field"), "key_text"))
 
 
-_TAG_TIE = "(coalesce(hcc_id, 0) * 1000000 + coalesce(frequency, 0) * 1000 + coalesce(n_videos, 0))"
+#: of rows of one tag and time, the order by group, then frequency: hcc_id < 10**7, frequency < 10**8 (checked by ``row_order``)
+_TAG_TIE = "(coalesce(hcc_id, 0) * 100000000 + coalesce(frequency, 0))"
 
 
 @R.query("p5_hashtag_totals", f"""

@@ -34,10 +34,10 @@ win AS (SELECT greatest(1, round_even(quantile_cont(g, 0.5) / 60e6, 0))::BIGINT
 _TEMPORAL = """, side AS (SELECT p.username, video, epoch_us(ts) AS t, CASE WHEN p.username IN (SELECT username FROM members) THEN 1 ELSE 2 END AS s
   FROM prep p WHERE ts IS NOT NULL AND video IS NOT NULL AND (p.username IN (SELECT username FROM members) OR p.username IN (SELECT username FROM mass))),
 temporal AS (SELECT source, target, count(*) AS w FROM (SELECT DISTINCT least(a.username, b.username) AS source, greatest(a.username, b.username) AS target, a.video
-  FROM side a JOIN side b ON a.video = b.video AND a.s <> b.s AND b.t - a.t BETWEEN 0 AND 604800000000) GROUP BY 1, 2)"""
-#: Minutes of the co-temporal window and least weights. The test tables spread over two years, so the window is a
-#: week (the original data's calibrated window is 9 minutes) and two common videos suffice (there three).
-WINDOW, LEAST = 7 * 24 * 60, 2
+  FROM side a JOIN side b ON a.video = b.video AND a.s <> b.s AND b.t - a.t BETWEEN 0 AND 7776000000000) GROUP BY 1, 2)"""
+#: Minutes of the co-temporal window and least weights. The test tables spread over two years, so the window is
+#: ninety days (the original data's calibrated window is 9 minutes) and two common videos suffice (there three).
+WINDOW, LEAST = 90 * 24 * 60, 2
 
 
 @R.query("c3_co_conv", PREP + _CONV + " SELECT source, target, w AS co_conv_weight FROM conv WHERE w >= 2")
@@ -98,9 +98,9 @@ def c8_evidence_labels(spark, d):
     return _edges(spark, d).groupBy("evidence").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum("final_weight"), 6).alias("total_weight"))
 
 
-@R.query("c9_edge_filter", PREP + _COMBINED + " SELECT source, target, round(final_weight, 9) AS final_weight FROM weighted, (SELECT quantile_cont(final_weight, 0.5) AS cut FROM weighted) WHERE final_weight >= cut - 1e-12")
+@R.query("c9_edge_filter", PREP + _COMBINED + " SELECT source, target, round(final_weight, 9) AS final_weight FROM weighted, (SELECT quantile_cont(final_weight, 0.9) AS cut FROM weighted) WHERE final_weight >= cut - 1e-12")
 def c9_edge_filter(spark, d):
-    return E.above_percentile(_edges(spark, d)).select("source", "target", F.round("final_weight", 9).alias("final_weight"))
+    return E.above_percentile(stage(_edges(spark, d), "edges"), share=0.9).select("source", "target", F.round("final_weight", 9).alias("final_weight"))
 
 
 _TAGS = """, vt AS (SELECT DISTINCT video_url AS video, unnest(list_filter(list_transform(string_split(coalesce(hashtags, ''), ';'), lambda t: regexp_replace(lower(trim(t)), '^#+', '')), lambda t: length(t) >= 3)) AS tag FROM video_metadata_clean),

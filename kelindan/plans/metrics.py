@@ -187,7 +187,12 @@ def m7_allocation(spark, d):
     return S.largest_remainder(_registry(spark, d), "source_file", 100)
 
 
-@R.query("m8_stratified_sample")
+_DRAW = "(('0x' || left(md5({}::VARCHAR || ':{}'), 13))::BIGINT::DOUBLE / 4503599627370496)"
+
+
+@R.query("m8_stratified_sample", _REG + """, z AS (SELECT source_file, count(*) AS size FROM s GROUP BY 1), e AS (SELECT *, size * 100 / sum(size) OVER () AS x FROM z), f AS (SELECT *, floor(x) AS fl, 100 - sum(floor(x)) OVER () AS rest, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, source_file) AS r FROM e),
+ al AS (SELECT source_file, size, least(size, fl + CASE WHEN r <= rest THEN 1 ELSE 0 END)::BIGINT AS allocated FROM f), k AS (SELECT record_id, source_file, row_number() OVER (PARTITION BY source_file ORDER BY """ + _DRAW.format("record_id", 42) + """, record_id) AS r FROM s)
+ SELECT record_id, k.source_file, size / allocated AS sample_weight FROM k JOIN al ON k.source_file IS NOT DISTINCT FROM al.source_file WHERE k.r <= allocated""")
 def m8_stratified_sample(spark, d):
     return S.stratified_sample(_registry(spark, d).select("record_id", "source_file"), "source_file", "record_id", 100, 42)
 
@@ -219,9 +224,10 @@ def m14_without_leaks(spark, d):
     return S.without_leaks(_registry(spark, d), "comment_id", "role", ["locked_test_v2"]).select("record_id")
 
 
-@R.query("m15_group_folds")
+@R.query("m15_group_folds", _REG + " SELECT CASE WHEN comment_id IS NULL THEN NULL ELSE floor(" + _DRAW.format("comment_id", 0) + " * 5)::INT END AS fold, count(*) AS n FROM s GROUP BY 1")
 def m15_group_folds(spark, d):
-    return S.group_folds(_registry(spark, d), "comment_id", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    folds = S.group_folds(_registry(spark, d), "comment_id", 5).withColumn("fold", F.when(F.col("comment_id").isNotNull(), F.col("fold")))
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.query("q7_split_leaks", _REG + " SELECT comment_id, count(DISTINCT role) AS n_roles FROM s WHERE comment_id IS NOT NULL AND role IS NOT NULL GROUP BY 1 HAVING count(DISTINCT role) > 1")

@@ -13,6 +13,7 @@ from kelindan.operators import sampling as S
 from kelindan.operators import textsim as T
 from kelindan.operators import typology as A
 from kelindan.operators.joins import text_clusters
+from kelindan.operators.quantiles import exact_quantile
 from kelindan.plans.domain import PREP, comments, makers, mass, members
 from kelindan.plans.evidence import _COMBINED, _edges
 from kelindan.plans.metrics import _PT, LABELS, _pt, _usable
@@ -66,9 +67,9 @@ def a15_creator_groups(spark, d):
 
 @R.query("c14_visual_mask", PREP + _COMBINED + ", c AS (SELECT quantile_cont(final_weight, 0.9) AS cut FROM weighted) SELECT n_evidence >= 2 OR final_weight >= cut - 1e-12 AS shown, count(*) AS n FROM weighted, c GROUP BY 1")
 def c14_visual_mask(spark, d):
-    edges = _edges(spark, d)
-    cut = edges.agg(F.percentile("final_weight", 0.9).alias("cut"))
-    return edges.crossJoin(F.broadcast(cut)).groupBy(((F.col("n_evidence") >= 2) | (F.col("final_weight") >= F.col("cut") - 1e-12)).alias("shown")).agg(F.count(F.lit(1)).alias("n"))  # one row
+    edges = stage(_edges(spark, d), "edges")
+    cut = exact_quantile(edges, "final_weight", 0.9) or 0.0
+    return edges.groupBy(((F.col("n_evidence") >= 2) | (F.col("final_weight") >= F.lit(cut) - 1e-12)).alias("shown")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.query("c16_private_map", PREP + " SELECT DISTINCT username, 'MASS_' || left(sha256('kelindan:' || username), 12) AS public_id FROM mass")
@@ -173,9 +174,7 @@ def t16_capped_pick(spark, d):
  SELECT pair_id, 'head' AS part FROM h UNION ALL (SELECT pair_id, 'fill' FROM r WHERE k > 4 ORDER BY pair_id LIMIT 10)""")
 def t17_head_and_fill(spark, d):
     rows = table(spark, d, "comment_similarity_pairs").select("pair_id", F.col("similarity_category").alias("c"))
-    ranked = A.running_rank(rows, ["c"], [F.col("pair_id")])
-    head = ranked.where("rank <= 4").select("pair_id", F.lit("head").alias("part"))
-    return head.unionByName(ranked.where("rank > 4").orderBy("pair_id").limit(10).select("pair_id", F.lit("fill").alias("part")))
+    return S.head_and_fill(rows, "c", [F.col("pair_id")], 4, 10).select("pair_id", "part")
 
 
 @R.query("t18_group_accounts", """SELECT hcc_id, count(*) AS n, count(DISTINCT normalized_comment) AS n_texts, sum(n_users)::BIGINT AS users, max(n_comments) AS most, min(candidate_id) AS first_id, round(avg(n_comments), 6) AS mean_comments FROM hcc_copypasta_candidates GROUP BY 1""")

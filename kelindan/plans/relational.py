@@ -12,7 +12,7 @@ from kelindan.operators import joins as J
 from kelindan.functions import normalize as N
 from kelindan.functions.stats import cut_right
 from kelindan.plans.domain import PREP, comments
-from kelindan.plans.evidence import _edges
+from kelindan.plans.evidence import _REPLY, _edges
 from kelindan.plans.registry import Registry, table
 from kelindan.session import stage
 
@@ -219,9 +219,9 @@ def union_by_name(spark, d):
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@R.query("proj_p5_regex_filter", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '^[a-p].*[0-9]$') OR regexp_matches(p_type, '(?i)steel')")
+@R.query("proj_p5_regex_filter", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '^[a-p].*(gear|bolt)$') OR regexp_matches(p_type, '(?i)^promo')")
 def proj_p5_regex_filter(spark, d):
-    return table(spark, d, "part").where(F.lower("p_name").rlike("^[a-p].*[0-9]$") | F.col("p_type").rlike("(?i)steel")).select("p_partkey")
+    return table(spark, d, "part").where(F.lower("p_name").rlike("^[a-p].*(gear|bolt)$") | F.col("p_type").rlike("(?i)^promo")).select("p_partkey")
 
 
 @R.query("proj_p6_case_when", "SELECT CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS kind, count(*) AS n FROM customer GROUP BY 1")
@@ -317,7 +317,7 @@ def g8_clean_edges(spark, d):
     return G.clean_edges(edges, names, odd).groupBy("reasons").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("g12_structural_hash")
+@R.query("g12_structural_hash", PREP + _REPLY + """ SELECT count(*) AS n, coalesce(sum(('0x' || left(md5(concat_ws(chr(31), source, target, n::VARCHAR)), 15))::BIGINT), 0)::DECIMAL(38,0) AS hash FROM reply""")
 def g12_structural_hash(spark, d):
     return G.structural_hash(E.co_reply(comments(spark, d)), "source", "target", "reply_count")
 

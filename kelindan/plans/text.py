@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from kelindan.functions import normalize as N
 from kelindan.operators import textsim as T
 from kelindan.operators.joins import fuzzy_pairs, text_members
+from kelindan.operators.packed import split_packed
+from kelindan.plans.core_data import SPLIT_CTES
 from kelindan.plans.domain import PREP, comments
 from kelindan.plans.registry import Registry, table
 from kelindan.session import stage
@@ -35,14 +37,18 @@ def t2_token_jaccard(spark, d):
     return rows.select("pair_id", F.round(N.token_jaccard(word("comment_1"), word("comment_2")), 9).alias("jaccard"))
 
 
+# Phrases that say nothing by themselves.
+GENERIC = ("setuju kak", "iya kak", "makasih kak", "bagus banget", "aman gak", "spill dong", "mau coba", "hadir", "first", "fyp")
+
+
 @R.query("t3_text_flags", r"""WITH t AS (SELECT comment_id, row_number() OVER (PARTITION BY comment_id ORDER BY crawled_at, source_file) AS k, lower(text) AS t FROM comments WHERE text IS NOT NULL AND comment_id IS NOT NULL)
- SELECT length(t) < 12 OR len(regexp_extract_all(t, '[\pL\pM\pN_]+')) < 3 AS is_short, t <> '' AND NOT regexp_matches(t, '[A-Za-z0-9_]') AS symbols_only, trim(regexp_replace(t, '[^\pL\pM\pN_\s]', ' ', 'g')) IN ('spill dong', 'mau coba', 'hadir', 'first', 'fyp') AS is_generic, count(*) AS n FROM t GROUP BY 1, 2, 3""")
+ SELECT length(t) < 12 OR len(regexp_extract_all(t, '[\pL\pM\pN_]+')) < 3 AS is_short, t <> '' AND NOT regexp_matches(t, '[A-Za-z0-9_]') AS symbols_only, trim(regexp_replace(t, '[^\pL\pM\pN_\s]', ' ', 'g')) IN """ + str(GENERIC) + """ AS is_generic, count(*) AS n FROM t GROUP BY 1, 2, 3""")
 def t3_text_flags(spark, d):
     t = F.lower("text")
     words = F.regexp_extract_all(t, F.lit(r"([\p{L}\p{M}\p{N}_]+)"), 1)
     phrase = F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}_\s]", " "))
     rows = table(spark, d, "comments").where("text is not null and comment_id is not null")
-    return rows.groupBy(((F.length(t) < 12) | (F.size(words) < 3)).alias("is_short"), ((t != "") & ~t.rlike("[A-Za-z0-9_]")).alias("symbols_only"), phrase.isin("spill dong", "mau coba", "hadir", "first", "fyp").alias("is_generic")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(((F.length(t) < 12) | (F.size(words) < 3)).alias("is_short"), ((t != "") & ~t.rlike("[A-Za-z0-9_]")).alias("symbols_only"), phrase.isin(*GENERIC).alias("is_generic")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _GRAMS = r"""WITH tx AS (SELECT DISTINCT lower(normalized_comment) AS text FROM hcc_copypasta_candidates WHERE normalized_comment <> ''),
@@ -113,7 +119,7 @@ def t8_numbered(spark, d):
 def t13_bounded_join(spark, d):
     from kelindan.operators.evidence import incidence
 
-    return incidence(comments(spark, d, None)).groupBy("username").agg(F.collect_set("video").alias("a")).select("username", N.bounded_join(F.col("a")).alias("videos"))
+    return T.bounded_lists(incidence(comments(spark, d, None)), "username", "video").withColumnRenamed("values", "videos")
 
 
 @R.query("t14_common_values", """WITH c AS (SELECT creator AS k, product_category AS v, count(*) AS n FROM video_metadata_clean WHERE trim(product_category) <> '' AND creator IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, v) AS r FROM c)
@@ -122,10 +128,13 @@ def t14_common_values(spark, d):
     return T.common_values(table(spark, d, "video_metadata_clean").where("creator is not null"), "creator", "product_category")
 
 
-@R.query("t22_exploded_summary", """SELECT coalesce(nullif(trim(u), ''), 'Not identified') AS value, count(*) AS n, count(DISTINCT hcc_id) AS n_groups FROM (SELECT hcc_id, unnest(string_split(coalesce(users, ''), ';')) AS u FROM hcc_copypasta_candidates) GROUP BY 1""")
+@R.query("t22_exploded_summary", "WITH " + SPLIT_CTES + """, u AS (SELECT hcc_id, coalesce(item, 'Not identified') AS value FROM (SELECT DISTINCT candidate_id, hcc_id FROM hcc_copypasta_candidates)
+ LEFT JOIN (SELECT row_key, item FROM items WHERE src_field = 'users') ON row_key = candidate_id)
+ SELECT value, count(*) AS n, count(DISTINCT hcc_id) AS n_groups FROM u GROUP BY 1""")
 def t22_exploded_summary(spark, d):
-    rows = table(spark, d, "hcc_copypasta_candidates").select("hcc_id", F.explode(F.split(F.coalesce("users", F.lit("")), ";")).alias("u"))
-    return rows.groupBy(F.coalesce(F.nullif(F.trim("u"), F.lit("")), F.lit("Not identified")).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hcc_id").alias("n_groups"))
+    rows = table(spark, d, "hcc_copypasta_candidates").select("candidate_id", "hcc_id", F.explode_outer(split_packed(F.col("users"))).alias("u"))
+    counts = rows.groupBy(F.coalesce("u", F.lit("Not identified")).alias("value"), "hcc_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("value").agg(F.sum("n").alias("n"), F.count("hcc_id").alias("n_groups"))
 
 
 @R.query("t23_comment_links", """SELECT DISTINCT comment_id, regexp_replace(video_url, '[?#].*$', '') || '?comment_id=' || comment_id AS link FROM comments WHERE comment_id IS NOT NULL AND video_url IS NOT NULL""")
@@ -156,7 +165,13 @@ def j18_text_members(spark, d):
     return text_members(table(spark, d, "hcc_copypasta_candidates"), "candidate_id", "normalized_comment")
 
 
-@R.query("m42_score_once", """WITH t AS (SELECT text, count(*) AS n FROM comments WHERE text IS NOT NULL GROUP BY 1) SELECT length(text) % 7 AS score, sum(n)::BIGINT AS n_rows, count(*) AS n_texts FROM t GROUP BY 1""")
+@R.query("m42_score_once", """WITH t AS (SELECT text, count(*) AS n FROM comments WHERE text IS NOT NULL GROUP BY 1),
+ s AS (SELECT n, (regexp_matches(text, 'https?://|www[.]'))::INT + (regexp_matches(text, '@[A-Za-z0-9_]'))::INT + (regexp_matches(text, '#[A-Za-z0-9_]'))::INT + (regexp_matches(text, '[!?][!?]'))::INT + (NOT regexp_matches(text, '[A-Za-z0-9]'))::INT AS score FROM t)
+ SELECT score::BIGINT AS score, sum(n)::BIGINT AS n_rows, count(*) AS n_texts FROM s GROUP BY 1""")
 def m42_score_once(spark, d):
+    """Each distinct text is scored once (by the number of its quality flags) and the score counts for all its rows."""
     once = table(spark, d, "comments").where("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    return once.groupBy((F.length("text") % 7).cast("bigint").alias("score")).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_texts"))
+    t = F.col("text")
+    marks = (t.rlike("https?://|www[.]"), t.rlike("@[A-Za-z0-9_]"), t.rlike("#[A-Za-z0-9_]"), t.rlike("[!?][!?]"), ~t.rlike("[A-Za-z0-9]"))
+    score = sum((m.cast("bigint") for m in marks[1:]), marks[0].cast("bigint"))
+    return once.groupBy(score.alias("score")).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_texts"))
