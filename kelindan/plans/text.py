@@ -17,7 +17,7 @@ R = Registry()
 
 
 @R.query("t1_similarity_text", r"""WITH a AS (SELECT comment_id, crawled_at, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM comments WHERE text IS NOT NULL),
- b AS (SELECT comment_id, crawled_at, CASE WHEN lower(t) NOT IN ('', 'nan', 'none', 'null', '<na>') THEN lower(regexp_replace(t, '[​-‏⁠︀-️]', '', 'g')) END AS t FROM a),
+ b AS (SELECT comment_id, crawled_at, CASE WHEN lower(t) NOT IN ('', 'nan', 'none', 'null', '<na>') THEN lower(regexp_replace(t, '[\x{200B}-\x{200F}\x{2060}\x{FE00}-\x{FE0F}]', '', 'g')) END AS t FROM a),
  c AS (SELECT comment_id, crawled_at, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '.', 'g'), ',,+', ',', 'g') AS t FROM b)
  SELECT comment_id, strftime(crawled_at, '%Y-%m-%d %H:%M:%S') AS crawled, trim(regexp_replace(t, '\s+', ' ', 'g')) AS similarity_text FROM c""")
 def t1_similarity_text(spark, d):
