@@ -27,15 +27,16 @@ def csv_header(path: str) -> list[str]:
         return next(csv.reader(f), [])
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, blanks: str = "null", schema: StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, blanks: str = "null", schema: StructType | None = None, multiline: bool = True) -> DataFrame:
     """A CSV file or folder as strings, or by an explicit schema; nothing is inferred.
 
     ``columns`` names what the header has, for paths that the driver can't open. ``blanks``: "null" reads an empty field as
-    null, "empty" keeps it as an empty text (texts like NA are never null). Quoted fields may span lines. A byte order mark before the first name is dropped.
+    null, "empty" keeps it as an empty text (texts like NA are never null). Quoted fields may span lines with ``multiline``, but then
+    one task reads a whole file; without it large files are split. A byte order mark before the first name is dropped.
     """
     names = list(columns) if columns is not None else csv_header(path)
     fields = schema or StructType([StructField(n.lstrip(BOM), StringType()) for n in names])
-    reader = spark.read.schema(fields).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", True)
+    reader = spark.read.schema(fields).option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", True)
     if blanks == "empty":
         reader = reader.option("emptyValue", "").option("nullValue", "\x00")
     df = reader.csv(path)
