@@ -80,7 +80,8 @@ def t5_similar_texts(spark, d):
  SELECT least(a, b) AS text_1, greatest(a, b) AS text_2, round(max(score), 6) AS score FROM rk WHERE r <= 20 GROUP BY 1, 2""")
 def t5_nearest(spark, d):
     texts, pairs = _sims(spark, d)
-    return _named(texts, T.nearest(pairs)).withColumn("score", F.round("score", 6))
+    named = _named(texts, pairs).withColumnsRenamed({"text_1": "a", "text_2": "b"})  # equal scores go by text, as in the SQL
+    return T.nearest(named).select(F.col("a").alias("text_1"), F.col("b").alias("text_2"), F.round("score", 6).alias("score"))
 
 
 @R.query("t6_bands", _GRAMS + " SELECT CASE WHEN score >= 0.92 THEN 'NEAR_EXACT' WHEN score >= 0.85 THEN 'HIGH_SIMILARITY' WHEN score >= 0.75 THEN 'MODERATE_SIMILARITY' ELSE 'WEAK_SIMILARITY' END AS band, count(*) AS n FROM sims GROUP BY 1")

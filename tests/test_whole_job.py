@@ -129,3 +129,11 @@ def test_similar_texts_shuffle_no_meetings(spark):
         # the meetings of all pairs stay within the tasks that make them
         assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
         assert {(r.a, r.b): r.score for r in found.collect()} == pytest.approx({k: min(s, 1.0) for k, s in want.items()}) and want
+
+
+def test_nearest_texts_break_ties_by_text(spark, tmp_path, rows):
+    # the last word is in one text only, so has no weight: all cosines are 1, and of 25 others twenty count
+    texts = [f"kulit kering serum bagus sekali w{i:02d}x" for i in range(26)]
+    spark.createDataFrame([(t,) for t in texts], "normalized_comment string").write.parquet(f"{tmp_path}/hcc_copypasta_candidates.parquet")
+    want = {tuple(sorted((a, b))) for a in texts for b in [x for x in texts if x != a][:20]}
+    assert rows(entry.queries()["t5_nearest"](spark, str(tmp_path))) == [(*p, 1.0) for p in sorted(want)] and len(want) < 325
