@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kelindan.functions import normalize as N
 from kelindan.operators import evidence as E
 from kelindan.operators import graph as G
-from kelindan.plans.domain import PREP, account_sql, comments, makers, mass, members
+from kelindan.plans.domain import PREP, account_sql, comments, makers, mass, members, sides
 from kelindan.plans.registry import Registry, table
 from kelindan.session import stage
 
@@ -66,9 +66,7 @@ def _edges(spark, d):
     """Pairs that pass any threshold, with all three weights."""
     prep = comments(spark, d)
     creators = makers(spark, d)
-    inside, outside, seen = members(prep, creators), mass(prep, creators), E.incidence(prep)
-    conv = E.co_conv(seen, inside, outside, LEAST)
-    temporal = E.co_temporal(prep, WINDOW, inside, outside, LEAST)
+    conv, temporal = E.shared_and_near(prep, sides(prep, creators), WINDOW, LEAST)
     reply = E.co_reply(prep).where("passes")
     return E.combine(
         conv.withColumnRenamed("co_conv_weight", "weight"), reply.withColumnRenamed("co_reply_weight", "weight"), temporal.withColumnRenamed("co_temporal_weight", "weight"),

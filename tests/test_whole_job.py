@@ -203,3 +203,46 @@ def test_fuzzy_pairs_in_blocks_lose_none(spark):
     found = joins.fuzzy_pairs(df, "k", "t", block=11)
     assert {(r.key_1, r.key_2) for r in found.collect()} == want and len(want) > 30
     assert "shared >= need" not in found._jdf.queryExecution().toString()  # no meeting is shuffled
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_one_meeting_gives_shared_and_near(spark, rows, least):
+    rng = random.Random(15)
+    data = [(f"u{k:02d}", v, rng.randrange(200)) for k in range(40) for v in ("hot", "warm", *(f"v{rng.randrange(25)}" for _ in range(rng.randrange(6)))) for _ in range(rng.randrange(3))]
+    data += [("u38", f"w{i}", 0) for i in range(3)] + [("u39", f"w{i}", 30) for i in range(3)] + [("u38", "hot", None), (None, "hot", 1), ("u37", None, 1)]
+    df = spark.createDataFrame(data, "username string, video string, minute int").selectExpr("username", "video", "timestamp_micros(minute * 60000000L) as ts")
+    side = lambda u: 1 + int(u[1:]) % 2
+    sides = spark.createDataFrame([(f"u{k:02d}", 1 + k % 2) for k in range(40)], "username string, s int")
+    shared, near = {}, {}
+    for (u, v, s), (x, w, t) in itertools.product(data, data):
+        if u and x and v and v == w and u < x and side(u) != side(x):
+            shared.setdefault((u, x), set()).add(v)
+            if None not in (s, t) and abs(s - t) <= 30:
+                near.setdefault((u, x), set()).add(v)
+    conv, temporal = evidence.shared_and_near(df, sides, 30, least)
+    over = lambda d: sorted(((*p, len(v)) for p, v in d.items() if len(v) >= least), key=repr)
+    assert rows(conv) == over(shared) and over(shared)
+    assert rows(temporal) == over(near) and over(near) and over(near) != over(shared)
+
+
+def test_combined_edges_meet_once_and_sort_few_comments(spark, monkeypatch):
+    sizes = {}
+
+    def spy(f, name):
+        out = stage(f, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(evidence, "stage", spy)
+    entry.queries()["c7_combined"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/comments.parquet").count()
+    # accounts meet once for both kinds of evidence; of the comments only those with a repeated id are ordered
+    assert len(sizes["ranked"]) == len(sizes["met"]) == 1 and 0 < sizes["repeated"][0] < n / 10
+
+
+def test_first_crawl_of_repeated_ids(spark, rows):
+    data = [("1", 2, "b"), ("1", 1, "z"), ("1", 1, "c"), ("2", 5, None), (None, 0, "a"), (None, 0, "a"), ("3", 1, "q"), ("3", 1, "q")]
+    df = spark.createDataFrame(data, "id string, at int, text string")
+    from pyspark.sql import functions as F
+
+    assert rows(evidence.keep_first_of_few(df, "id", [F.col("at"), F.col("text")])) == [("1", 1, "c"), ("2", 5, None), ("3", 1, "q")]
