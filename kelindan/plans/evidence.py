@@ -62,9 +62,9 @@ def c6_co_temporal(spark, d):
     return E.co_temporal(prep, WINDOW, members(prep, creators), mass(prep, creators), LEAST)
 
 
-def _edges(spark, d):
-    """Pairs that pass any threshold, with all three weights."""
-    prep = comments(spark, d)
+def _edges(spark, d, prep=None):
+    """Pairs that pass any threshold, with all three weights; ``prep`` if the comments are prepared already."""
+    prep = comments(spark, d) if prep is None else prep
     creators = makers(spark, d)
     conv, temporal = E.shared_and_near(prep, sides(prep, creators), WINDOW, LEAST)
     reply = E.co_reply(prep).where("passes")
@@ -186,7 +186,7 @@ def g9_topology(spark, d):
 def g13_edge_summary(spark, d):
     prep, creators = comments(spark, d), makers(spark, d)
     kinds = members(prep, creators).withColumn("kind", F.lit("Community")).unionByName(creators.withColumn("kind", F.lit("Individual")))
-    return G.edge_summary(_edges(spark, d), kinds.withColumnRenamed("username", "node"), "Mass", "final_weight")
+    return G.edge_summary(_edges(spark, d, prep), kinds.withColumnRenamed("username", "node"), "Mass", "final_weight")
 
 
 @R.query("g10_aggregate_graph", PREP + _REPLY + """, k AS (SELECT *, CASE WHEN source IN (SELECT username FROM members) THEN 'Community' WHEN source IN (SELECT username FROM makers) THEN 'Individual' ELSE 'Mass' END AS s,

@@ -246,3 +246,10 @@ def test_first_crawl_of_repeated_ids(spark, rows):
     from pyspark.sql import functions as F
 
     assert rows(evidence.keep_first_of_few(df, "id", [F.col("at"), F.col("text")])) == [("1", 1, "c"), ("2", 5, None), ("3", 1, "q")]
+
+
+def test_edge_summary_prepares_comments_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr("kelindan.plans.domain.stage", lambda f, name: names.append(name) or stage(f, name))
+    entry.queries()["g13_edge_summary"](spark, "/root/testdata/sf0.001")
+    assert names.count("comments") == 1
