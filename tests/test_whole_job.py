@@ -253,3 +253,10 @@ def test_edge_summary_prepares_comments_once(spark, monkeypatch):
     monkeypatch.setattr("kelindan.plans.domain.stage", lambda f, name: names.append(name) or stage(f, name))
     entry.queries()["g13_edge_summary"](spark, "/root/testdata/sf0.001")
     assert names.count("comments") == 1
+
+
+def test_density_meets_accounts_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(evidence, "stage", lambda f, name: names.append(name) or stage(f, name))
+    entry.queries()["g7_density"](spark, "/root/testdata/sf0.001")
+    assert names.count("met") == names.count("ranked") == 1
