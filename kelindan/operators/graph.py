@@ -253,38 +253,74 @@ def focal_of(rows: Iterable[tuple[str, str, float]], floor: float, keep: float =
     return sorted(inside), weight / count
 
 
-def _dependencies(i: np.ndarray, j: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
-    """Dependencies on each of ``n`` nodes, summed over ``sources``: Brandes for a batch of sources, level by level. (i, j) are both directions of each edge once, ordered by j."""
-    first = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
-    to, cols = j[first], np.arange(len(sources))
-    dist, paths = np.full((n, len(sources)), -1, dtype=np.int32), np.zeros((n, len(sources)))
-    dist[sources, cols], paths[sources, cols] = 0, 1.0
-    level = 0
-    while True:
-        more = np.zeros_like(paths)
-        more[to] = np.add.reduceat(np.where(dist[i] == level, paths[i], 0.0), first, axis=0)
-        fresh = (dist < 0) & (more > 0)
-        if not fresh.any():
-            break
-        level += 1
-        dist[fresh] = level
-        paths[fresh] = more[fresh]
-    gain = np.zeros_like(paths)
-    for at in range(level, 0, -1):
-        share = np.where(dist == at, (1 + gain) / np.where(paths > 0, paths, 1.0), 0.0)
-        back = np.zeros_like(paths)
-        back[to] = np.add.reduceat(share[i], first, axis=0)
-        gain += np.where(dist == at - 1, paths * back, 0.0)
-    gain[sources, cols] = 0.0
-    return gain.sum(axis=1)
-
-
-def betweenness(edges: DataFrame, groups: DataFrame, block: int = 1024, batch: int = 32) -> DataFrame:
+def _stripped(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(core, mass, score)`` of a connected graph after its leaves are taken off again and again, (i, j) each edge once.
+
+    ``mass`` of a node is the number of nodes that hang from it, itself included; ``score`` counts the ordered pairs
+    whose paths lead through a node by what hangs from it: for a node taken off these are all, for one of the core those with an end there.
+    A tree leaves one node.
+    """
+    degree, other = np.bincount(np.r_[i, j], minlength=n), np.zeros(n, dtype=np.int64)
+    np.bitwise_xor.at(other, i, j)
+    np.bitwise_xor.at(other, j, i)
+    stack = np.flatnonzero(degree == 1).tolist()
+    degree, other, mass, squares, core = degree.tolist(), other.tolist(), [1] * n, [0] * n, [True] * n
+    while stack:
+        u = stack.pop()
+        if degree[u] != 1:
+            continue
+        v = other[u]  # of the neighbours only this one is left
+        core[u], degree[u] = False, 0
+        mass[v] += mass[u]
+        squares[v] += mass[u] ** 2
+        degree[v] -= 1
+        other[v] ^= u
+        if degree[v] == 1:
+            stack.append(v)
+    core, mass, squares = np.array(core), np.array(mass, dtype=np.float64), np.array(squares, dtype=np.float64)
+    below = mass - 1
+    return core, mass, below**2 - squares + 2 * below * (n - mass)
+
+
+def _dependencies(start: np.ndarray, to: np.ndarray, mass: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Dependencies on each node, summed over ``sources``: Brandes for a batch of sources, level by level, each edge once per source and direction.
+
+    Node v's neighbours are ``to[start[v]:start[v + 1]]``. A node counts as ``mass`` sources and targets.
+    """
+    n, cells = len(mass), len(mass) * len(sources)
+    degree = np.diff(start)
+    base = np.arange(len(sources)) * n
+    reached, paths = np.zeros(cells, dtype=bool), np.zeros(cells)
+    front = base + sources
+    reached[front], paths[front] = True, 1.0
+    steps = []
+    while len(front):
+        v = front % n
+        many = degree[v]
+        ends = np.cumsum(many)
+        post = np.arange(ends[-1]) + np.repeat(start[v] - (ends - many), many)
+        child, parent = to[post] + np.repeat(front - v, many), np.repeat(front, many)
+        fresh = ~reached[child]
+        child, parent = child[fresh], parent[fresh]
+        more = np.bincount(child, paths[parent], minlength=cells)
+        front = np.flatnonzero(more)
+        reached[front], paths[front] = True, more[front]
+        steps.append((child, parent))
+    gain, weight = np.zeros(cells), np.tile(mass, len(sources))
+    for child, parent in reversed(steps):
+        if len(child):
+            gain += np.bincount(parent, paths[parent] * ((weight[child] + gain[child]) / paths[child]), minlength=cells)
+    gain[base + sources] = 0.0
+    return (gain.reshape(len(sources), n) * mass[sources, None]).sum(axis=0)
+
+
+def betweenness(edges: DataFrame, groups: DataFrame, block: int = 512, batch: int = 32) -> DataFrame:
     """``(component, node, score)``: normalised unweighted betweenness of every node, exact, without a bound on the component.
 
     Brandes in blocks of source nodes: a task has ``block`` sources and the numbered edges of their
-    component, 16 bytes each, and ``batch`` sources at a time of a matrix of all its nodes. So a component costs
-    tasks in proportion to its nodes; the work of each is that of its edges and grows with the longest path.
+    component, 16 bytes each, and up to ``batch`` sources at a time of a matrix of all its nodes. So a component costs
+    tasks in proportion to its nodes; the work of each is that of its edges. Trees that hang from a component are counted in
+    closed form, and neither their nodes nor their edges are searched.
     """
     ids = stage(groups.select("component", "node", (F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1).cast("int").alias("i")), "ids")
     s, t = ids.select(F.col("node").alias("source"), "component", "i"), ids.select(F.col("node").alias("target"), F.col("i").alias("j"))
@@ -294,11 +330,22 @@ def betweenness(edges: DataFrame, groups: DataFrame, block: int = 1024, batch: i
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         n, low = int(f["n"].iloc[0]), int(key[1]) * block
-        i, j = np.r_[f["i"].to_numpy(), f["j"].to_numpy()], np.r_[f["j"].to_numpy(), f["i"].to_numpy()]
-        order = np.argsort(j, kind="stable")
-        i, j, score = i[order], j[order], np.zeros(n)
-        for at in range(low, min(n, low + block), batch):
-            score += _dependencies(i, j, n, np.arange(at, min(n, low + block, at + batch)))
+        high = min(n, low + block)
+        i, j = f["i"].to_numpy(), f["j"].to_numpy()
+        core, mass, hung = _stripped(i, j, n)
+        score = np.zeros(n)
+        score[low:high] = hung[low:high]
+        ids = np.flatnonzero(core)
+        if len(ids) > 1:
+            at = np.cumsum(core) - 1
+            kept = core[i] & core[j]
+            i, j = at[i[kept]], at[j[kept]]
+            i, j = np.r_[i, j], np.r_[j, i]
+            start, to = np.r_[0, np.cumsum(np.bincount(i, minlength=len(ids)))], j[np.argsort(i, kind="stable")]
+            own = np.flatnonzero((ids >= low) & (ids < high))
+            wide = max(1, min(batch, (1 << 20) // len(ids)))
+            for k in range(0, len(own), wide):
+                score[ids] += _dependencies(start, to, mass[ids], own[k : k + wide])
         held = np.flatnonzero(score)
         return pd.DataFrame({"component": np.array([key[0]] * len(held), dtype=object), "i": held.astype(np.int32), "score": score[held]})
 

@@ -8,6 +8,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -260,3 +261,17 @@ def test_density_meets_accounts_once(spark, monkeypatch):
     monkeypatch.setattr(evidence, "stage", lambda f, name: names.append(name) or stage(f, name))
     entry.queries()["g7_density"](spark, "/root/testdata/sf0.001")
     assert names.count("met") == names.count("ranked") == 1
+
+
+def test_hanging_trees_are_counted_and_not_searched():
+    rng = random.Random(16)
+    ring = [(k, (k + 1) % 9) for k in range(9)] + [(0, 4), (2, 7)]
+    e = ring + [(rng.randrange(k), k) for k in range(9, 60)]
+    for edges in (e, [(rng.randrange(k), k) for k in range(1, 30)], [(0, 1)]):
+        n = 1 + max(max(x) for x in edges)
+        i, j = (np.array(x) for x in zip(*edges, strict=True))
+        core, mass, score = graph._stripped(i, j, n)
+        assert core.sum() == (9 if edges is e else 1) and mass[core].sum() == n
+        want = graph.betweenness_of([(str(a), str(b), 1.0) for a, b in edges])
+        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        assert all(score[v] * scale == pytest.approx(want[str(v)], abs=1e-12) for v in range(n) if edges is not e or not core[v])
