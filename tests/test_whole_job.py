@@ -286,3 +286,12 @@ def test_gram_weights_shuffle_texts_not_grams(spark):
     for r in found.collect():
         sums[r.text_id] = sums.get(r.text_id, 0.0) + r.w**2
     assert len(sums) == 60 and list(sums.values()) == pytest.approx([1.0] * 60)
+
+
+def test_nearest_comments_stage_no_weights(spark, tmp_path, monkeypatch):
+    names = []
+    for module in ("kelindan.plans.further", "kelindan.operators.textsim"):
+        monkeypatch.setattr(f"{module}.stage", lambda f, name: names.append(name) or stage(f, name))
+    spark.read.parquet("/root/testdata/sf0.001/comments.parquet").limit(60).write.parquet(f"{tmp_path}/comments.parquet")
+    entry.queries()["t5_nearest_comments"](spark, str(tmp_path))
+    assert "blocks" in names and "tfidf" not in names
